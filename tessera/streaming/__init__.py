@@ -1,0 +1,2 @@
+"""The query language has no stream, watermark or window constructs; buckets of
+time are the scalar function TIME_BUCKET over batch tables."""
