@@ -145,11 +145,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, **more) ->
     some = marked.where("toxic = 1").orderBy(order, "doc_id").limit(per_class).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(per_class))
     text = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where("text is not null")
     # Sizes are bounded by per_class; 2 x per_class ids are a few tens of kilobytes.
-    rows = text.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", utf8(F.col("text")).alias("body")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    y = np.array([r["toxic"] for r in rows], dtype=float)
-    if not len(rows) or y.min() == y.max():
+    rows = text.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", utf8(F.col("text")).alias("body")).dropDuplicates(["doc_id"])
+    prior = count[1] / (count[0] + count[1])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One task holds the bounded sample; only the few chosen weights leave it.
+        held = sorted((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda x: x[0])
+        y = np.array([t for _, t, _ in held], dtype=float)
+        if not len(held) or y.min() == y.max():
+            return
+        model = fit([body for _, _, body in held], y, prior, **more)
+        chosen = np.flatnonzero(model.table >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array([chosen.tolist()], pa.list_(pa.int64())), pa.array([model.weights.tolist()], pa.list_(pa.float64())), pa.array([model.bias])], names=["chosen", "weights", "bias"])
+
+    found = rows.coalesce(1).mapInArrow(learn, "chosen array<long>, weights array<double>, bias double").collect()
+    if not found:
         return None
-    return fit([bytes(r["body"]) for r in rows], y, count[1] / (count[0] + count[1]), **more)
+    table = np.full(1 << BITS, -1, dtype=np.int32)
+    table[np.array(found[0]["chosen"], dtype=np.int64)] = np.arange(len(found[0]["chosen"]))
+    return ToxicityModel(table, np.array(found[0]["weights"]), found[0]["bias"])
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
