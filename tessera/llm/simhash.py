@@ -216,20 +216,22 @@ def near_links(prints: DataFrame, radius: int = 4, shard_limit: int = 200_000) -
     return dealt.select(F.col("b").cast("long"), "v", "s", "fp").mapInPandas(_link_shards(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_limit: int = 200_000) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id and links of every row.
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_limit: int = 200_000, keep: tuple[str, ...] = (), class_id: bool = False) -> DataFrame:
+    """doc_id, the ``keep`` columns, fingerprint (16 hex digits) and component_id of every row.
 
     Documents are linked when their fingerprints differ in at most ``radius``
     bits; component_id is the smallest doc_id reachable. Rows with equal
     fingerprints are one node, so copies are never paired. Null and empty texts
     and texts without words have fingerprint zero and are linked like any
     other. A null doc_id keeps its row and never is a component_id unless no
-    other id is in its component. Columns but doc_id and text are ignored.
+    other id is in its component. With ``class_id`` a column of that name, a
+    fingerprint of the component as a long, follows; it tells components apart
+    where ids are null or repeated. Other columns are ignored.
     """
-    rows = stage(fingerprints(docs, shingle))
+    rows = stage(fingerprints(docs, shingle, keep))
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = connected_components(near_links(prints.select("fp"), radius, shard_limit))
     classes = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = classes.join(lowest, "root").select("fp", "component_id", F.col("root").alias("class_id"))
+    return rows.join(named, "fp").select("doc_id", *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["class_id"] if class_id else []))

@@ -211,3 +211,14 @@ def test_pipeline_stages(spark):
     assert len(before) == len(after) and {r["doc_id"] for r in before} == {r["doc_id"] for r in after}
     assert 0 < len(kept["toxicity"][1]) <= len(kept["toxicity"][0])
     assert {r["doc_id"] for r in cp.run(spark, SF).collect()} == {r["doc_id"] for r in after}
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    rows = [(5, a), (5, b), (3, b), (3, b), (None, c), (None, c), (None, d), (9, None), (10, ""), (None, "")]
+    got = cp.drop_near_copies(spark, spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "").select("doc_id", "text").collect()
+    want = [(5, a), (3, b), (None, c), (None, d), (9, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
