@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.binder import Binder, Node, Rel, Scope, Value
@@ -25,6 +25,20 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("_rid", F.lit(base) + F.monotonically_increasing_id())
 
 
+def row_numbers(df: DataFrame, name: str, top: int) -> DataFrame:
+    """``df`` with a column of gapless numbers that go on after ``top``.
+
+    Numbers within a partition come from the scan itself; only one row a
+    partition, its count, is summed up in order and sent to every task.
+    """
+    rows = materialize(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    at = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(top + 1)
+    return rows.join(F.broadcast(before), part == F.col("_part")).withColumn(name, at).drop("_at", "_part", "_before")
+
+
 def default(graph, table, prop: str, kind):
     """Default value of a property, or the next numbers of a SERIAL."""
     ast = table.defaults.get(prop)
@@ -36,9 +50,7 @@ def insert_nodes(graph, name: str, rows: DataFrame) -> None:
     t = graph.catalog.nodes[name]
     if t.types.get(t.pk, "").upper() == "SERIAL" and t.pk not in rows.columns:
         top = t.df.agg(F.coalesce(F.max(t.pk), F.lit(-1))).first()[0]
-        from pyspark.sql import Window
-
-        rows = rows.withColumn(t.pk, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + F.lit(top))
+        rows = row_numbers(rows, t.pk, top)
     cols = [(F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else default(graph, t, f.name, f.dataType)).alias(f.name) for f in t.df.schema.fields]
     new = materialize(rows.select(*cols))
     if not new.where(F.col(f"`{t.pk}`").isNull()).isEmpty():
@@ -99,12 +111,11 @@ def create(scope: Scope, clause: dict) -> Scope:
             if t.pk not in given:
                 if t.types.get(t.pk, "").upper() != "SERIAL":
                     raise QueryError(f"Create node {name} expects primary key {t.pk} as input.")
-                from pyspark.sql import Window
-
                 top = t.df.agg(F.coalesce(F.max(t.pk), F.lit(-1))).first()[0]
-                given[t.pk] = (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + F.lit(top)).cast("long")
+                keyed = keyed.at(row_numbers(keyed.df, "_serial", top))
+                given[t.pk] = F.col("_serial")
             cols = {f"{name}__{f.name}": given.get(f.name, default(graph, t, f.name, f.dataType)) for f in t.df.schema.fields}
-            df = materialize(keyed.df.withColumns({f"{name}___id": given[t.pk], f"{name}___label": F.lit(t.name), **cols}))
+            df = materialize(keyed.df.withColumns({f"{name}___id": given[t.pk], f"{name}___label": F.lit(t.name), **cols}).drop("_serial"))
             insert_nodes(graph, t.name, df.select(*[F.col(f"`{name}__{p}`").alias(p) for p in t.props]))
             keyed = Scope(graph, df, {**keyed.vars, name: Node(name, [t.name], t.props, t.pk)}, keyed.params, keyed.used)
         ends = iter(zip(names, names[1:], strict=False))
@@ -204,8 +215,6 @@ def merge(scope: Scope, clause: dict) -> Scope:
     Rows whose key was created by an earlier row of the same statement count as
     matched for ON MATCH.
     """
-    from pyspark.sql import Window
-
     graph, path = scope.graph, clause["path"]
     df = materialize(scope.df.withColumn("_row", F.monotonically_increasing_id()))
     base = Scope(graph, df, {**scope.vars, "_row": Value("_row")}, scope.params, scope.used)

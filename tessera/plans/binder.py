@@ -483,6 +483,11 @@ class Binder:
             return (F.min if name == "MIN" else F.max)(a.c)
         if name == "PERCENTILECONT":
             return F.percentile(a.c.cast("double"), L(float(args[1][1])))
+        if name == "PERCENTILEDISC" and isinstance(a.t, (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)):
+            # Counts per value, added up before the shuffle; these types pass through a double unchanged.
+            hidden = f"_ranked{len(self.scope.df.columns)}"
+            self.scope.df = self.scope.df.withColumn(hidden, a.c)
+            return F.expr(f"percentile_disc({float(args[1][1])}D) WITHIN GROUP (ORDER BY `{hidden}`)").cast(a.t)
         if name == "PERCENTILEDISC":
             ordered = F.array_sort(F.collect_list(a.c))
             at = F.greatest(F.ceil(F.size(ordered) * L(float(args[1][1]))), L(1)).cast("int")

@@ -3,6 +3,7 @@ graph language with its SQL equivalent over the same tables."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -12,26 +13,51 @@ from pyspark.sql import functions as F
 from .session import Graph
 
 
-def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    """Tables as nodes and foreign keys as relationships; nothing is read yet."""
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+NODES = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Orders": ("orders", "o_orderkey"), "Event": ("events", "event_id"), "Document": ("documents", "doc_id"), "Vec": ("embeddings", "vec_id"), "User": ("events", "user_id")}
+ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+# name: (table, ends, source key, destination key, row id, properties), one entry a pair of ends
+RELS = {
+    "IN_REGION": [("nation", ("Nation", "Region"), "n_nationkey", "n_regionkey", None, [])],
+    "FROM_NATION": [("customer", ("Customer", "Nation"), "c_custkey", "c_nationkey", None, []), ("supplier", ("Supplier", "Nation"), "s_suppkey", "s_nationkey", None, [])],
+    "PLACED": [("orders", ("Customer", "Orders"), "o_custkey", "o_orderkey", "o_orderkey", [])],
+    "HOLDS": [("lineitem", ("Orders", "Part"), "l_orderkey", "l_partkey", "_line", ITEM)],
+    "SUPPLIED_BY": [("lineitem", ("Orders", "Supplier"), "l_orderkey", "l_suppkey", "_line", ITEM)],
+    "DID": [("events", ("User", "Event"), "user_id", "event_id", "event_id", [])],
+    "KNOWS": [("customer", ("Customer", "Customer"), "c_custkey", "to", None, ["w"])],
+}
+
+
+def knows_edges(customers: DataFrame) -> DataFrame:
+    """A sparse directed graph over customers for walks and shortest paths."""
+    c = customers.select("c_custkey", (F.col("c_custkey") * 7 + F.col("c_nationkey")).alias("h")).where("c_custkey <= 97")
+    return c.select("c_custkey", F.explode(F.array(F.col("h") % 97 + 1, F.col("h") % 89 + 1)).alias("to")).select("c_custkey", "to", (F.col("c_custkey") % 5 + F.col("to") % 3 + 1).alias("w")).distinct()
+
+
+def graph_of(spark: SparkSession, sf_dir: str, text: str | None = None) -> Graph:
+    """Tables as nodes and foreign keys as relationships; no rows are read yet.
+
+    Opening a file costs a read of its footer, so with ``text`` only the labels
+    that the query names, and the ends of its relationships, are registered.
+    """
+    named = None if text is None else set(re.findall(r"\w+", text))
+    rels = [r for r in RELS if named is None or r in named]
+    ends = {x for r in rels for part in RELS[r] for x in part[1]}
+    opened: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
+
     g = Graph(spark)
-    g.add_nodes("Region", t("region"), "r_regionkey").add_nodes("Nation", t("nation"), "n_nationkey").add_nodes("Customer", t("customer"), "c_custkey").add_nodes("Supplier", t("supplier"), "s_suppkey")
-    g.add_nodes("Part", t("part"), "p_partkey").add_nodes("Orders", t("orders"), "o_orderkey").add_nodes("Event", t("events"), "event_id").add_nodes("Document", t("documents"), "doc_id").add_nodes("Vec", t("embeddings"), "vec_id")
-    g.add_nodes("User", t("events").select("user_id").distinct(), "user_id")
-    g.add_rels("IN_REGION", t("nation"), ("Nation", "Region"), "n_nationkey", "n_regionkey", props=[])
-    g.add_rels("FROM_NATION", t("customer"), ("Customer", "Nation"), "c_custkey", "c_nationkey", props=[])
-    g.add_rels("FROM_NATION", t("supplier"), ("Supplier", "Nation"), "s_suppkey", "s_nationkey", props=[])
-    g.add_rels("PLACED", t("orders"), ("Customer", "Orders"), "o_custkey", "o_orderkey", rid="o_orderkey", props=[])
-    line = t("lineitem").select("*", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_line"))
-    item = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    g.add_rels("HOLDS", line, ("Orders", "Part"), "l_orderkey", "l_partkey", rid="_line", props=item)
-    g.add_rels("SUPPLIED_BY", line, ("Orders", "Supplier"), "l_orderkey", "l_suppkey", rid="_line", props=item)
-    g.add_rels("DID", t("events"), ("User", "Event"), "user_id", "event_id", rid="event_id", props=[])
-    # A sparse directed graph over customers for walks and shortest paths.
-    c = t("customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") * 7 + F.col("c_nationkey")).alias("h"))
-    knows = c.select("c_custkey", F.explode(F.array(F.col("h") % 97 + 1, F.col("h") % 89 + 1)).alias("to")).where("c_custkey <= 97").select("c_custkey", "to", (F.col("c_custkey") % 5 + F.col("to") % 3 + 1).alias("w")).distinct()
-    g.add_rels("KNOWS", knows, ("Customer", "Customer"), "c_custkey", "to")
+    for label, (name, key) in NODES.items():
+        if named is None or label in named or label in ends:
+            g.add_nodes(label, t(name).select(key).distinct() if label == "User" else t(name), key)
+    for r in rels:
+        for name, pair, src, dst, rid, props in RELS[r]:
+            df = knows_edges(t(name)) if r == "KNOWS" else t(name)
+            df = df.withColumn("_line", F.col("l_orderkey") * 10 + F.col("l_linenumber")) if name == "lineitem" else df
+            g.add_rels(r, df, pair, src, dst, rid=rid, props=props)
     g.query("CREATE MACRO revenue(price, discount, tax:=0.0) AS price * (1.0 - discount) * (1.0 + tax)")
     return g
 
@@ -224,7 +250,8 @@ PAIRS: dict[str, tuple[str, str | None]] = {
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_of(spark, sf_dir).query(PAIRS[name][0].replace("{sf}", sf_dir))
+    text = PAIRS[name][0].replace("{sf}", sf_dir)
+    return graph_of(spark, sf_dir, text).query(text)
 
 
 def changed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

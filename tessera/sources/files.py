@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,17 @@ def sniff(spark: SparkSession, files: list[str], options: dict) -> dict:
     return {"sep": sep, "header": bool(header)}
 
 
+def skip_rows(df: DataFrame, n: int) -> DataFrame:
+    """``df``, read from files, without the first ``n`` rows of each file.
+
+    Only rows of the first block of a file are ranked; the rest stays where it is.
+    """
+    names = df.columns
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    head = df.where("_start = 0").withColumn("_rank", F.row_number().over(Window.partitionBy("_file").orderBy("_at")))
+    return head.where(F.col("_rank") > n).select(*names).unionByName(df.where("_start > 0").select(*names))
+
+
 def read_csv(spark: SparkSession, files: list[str], options: dict, schema: T.StructType | None) -> DataFrame:
     s = sniff(spark, files, options)
     r = spark.read.option("sep", s["sep"]).option("header", s["header"]).option("quote", options.get("QUOTE", '"')).option("escape", options.get("ESCAPE", '"'))
@@ -52,18 +63,18 @@ def read_csv(spark: SparkSession, files: list[str], options: dict, schema: T.Str
         r = r.option("mode", "DROPMALFORMED")
     elif schema is not None:
         r = r.option("mode", "FAILFAST")
+    skip = lambda df: skip_rows(df, int(options["SKIP"])) if options.get("SKIP") else df
     nested = schema is not None and any(isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType)) for f in schema.fields)
     if schema is None:
         df = r.option("inferSchema", True).option("samplingRatio", float(options.get("SAMPLING_RATIO", 1.0))).csv(files)
-        df = df.select(*[(F.col(f"`{f.name}`").cast("long") if isinstance(f.dataType, T.IntegerType) else F.col(f"`{f.name}`").cast("timestamp_ntz") if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")).alias(f.name if s["header"] else f"column{i}") for i, f in enumerate(df.schema.fields)])
+        df = skip(df).select(*[(F.col(f"`{f.name}`").cast("long") if isinstance(f.dataType, T.IntegerType) else F.col(f"`{f.name}`").cast("timestamp_ntz") if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")).alias(f.name if s["header"] else f"column{i}") for i, f in enumerate(df.schema.fields)])
     elif nested:
         plain = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-        df = r.schema(plain).csv(files)
+        df = skip(r.schema(plain).csv(files))
         df = df.select(*[nested_literal(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields])
     else:
-        df = r.schema(schema).csv(files)
-    skip = int(options.get("SKIP", 0))
-    return df.offset(skip) if skip else df
+        df = skip(r.schema(schema).csv(files))
+    return df
 
 
 def nested_literal(c, kind: T.DataType):
