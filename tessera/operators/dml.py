@@ -45,8 +45,8 @@ def default(graph, table, prop: str, kind):
     return Binder(Scope(graph, graph.dummy(), {}, {}, {})).expr(ast).cast(kind) if ast else F.lit(None).cast(kind)
 
 
-def insert_nodes(graph, name: str, rows: DataFrame) -> None:
-    """Append rows (a subset of the table's columns) after checking the key."""
+def insert_nodes(graph, name: str, rows: DataFrame) -> int:
+    """Append rows (a subset of the table's columns) after checking the key; gives their number."""
     t = graph.catalog.nodes[name]
     if t.types.get(t.pk, "").upper() == "SERIAL" and t.pk not in rows.columns:
         top = t.df.agg(F.coalesce(F.max(t.pk), F.lit(-1))).first()[0]
@@ -60,10 +60,11 @@ def insert_nodes(graph, name: str, rows: DataFrame) -> None:
         raise QueryError(f"Found duplicated primary key value {twice[0][0]}, which violates the uniqueness constraint of the primary key column.")
     t.df = t.df.unionByName(new)
     graph.catalog.version += 1
+    return new.count()
 
 
-def insert_rels(graph, name: str, pair: tuple[str, str], rows: DataFrame) -> None:
-    """Append rows (_src, _dst, properties); both ends must exist."""
+def insert_rels(graph, name: str, pair: tuple[str, str], rows: DataFrame) -> int:
+    """Append rows (_src, _dst, properties); both ends must exist. Gives their number."""
     t = graph.catalog.rels[name]
     if pair not in t.parts:
         raise QueryError(f"Relationship {name} has no pair from {pair[0]} to {pair[1]}.")
@@ -81,6 +82,24 @@ def insert_rels(graph, name: str, pair: tuple[str, str], rows: DataFrame) -> Non
             raise QueryError(f"A node has more than one neighbour in {name}, which violates the rel multiplicity constraint {t.mult}.")
     t.parts[pair] = merged
     graph.catalog.version += 1
+    return new.count()
+
+
+def first_of_each_key(rows: DataFrame, pk: str, known: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
+    """Rows that may be inserted, and (reason, rows) of those that may not.
+
+    Of rows with the same key the first stays, unless ``known`` has the key. A
+    key that very many rows share is aggregated before it is shuffled.
+    """
+    key = F.col(f"`{pk}`")
+    at = materialize(rows.withColumn("_at", F.monotonically_increasing_id()))
+    first = at.where(key.isNotNull()).groupBy(key.alias("_k")).agg(F.min("_at").alias("_first"))
+    first = materialize(first.join(known.select(key.alias("_k")), "_k", "left_anti"))
+    on = at["_at"] == first["_first"]
+    good = at.join(first, on, "left_semi").drop("_at")
+    twice = at.where(key.isNotNull()).join(first, on, "left_anti").drop("_at")
+    duplicate = "Found duplicated primary key value {}, which violates the uniqueness constraint of the primary key column."
+    return good, [("Found NULL, which violates the non-null constraint of the primary key column.", at.where(key.isNull()).drop("_at")), (duplicate, twice)]
 
 
 def create(scope: Scope, clause: dict) -> Scope:

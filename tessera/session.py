@@ -49,6 +49,7 @@ class Graph:
         self.attached: dict = {}
         self.extensions: set[str] = set()
         self.warnings: list = []
+        self.copies = 0
         self.objects: dict = {}
         self.seed: int | None = None
         self.saved: Catalog | None = None
@@ -393,9 +394,21 @@ class Graph:
         return self.message(f"Table {s['table']} comment updated.")
 
     # ----------------------------------------------------------------- IO
+    def warn(self, message: str, rejected: DataFrame, key: str, src: dict) -> int:
+        """Keep up to ``warning_limit`` rejected rows for SHOW_WARNINGS; gives the number of all."""
+        n = rejected.count()
+        room = int(self.settings["warning_limit"]) - len(self.warnings)
+        if n and room > 0:
+            path = src["files"][0] if len(src.get("files", ())) == 1 else None
+            line = F.concat_ws(",", *[(c.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.to_json(c)) for f in rejected.schema.fields for c in [F.col(f"`{f.name}`")]])
+            for r in rejected.select(F.col(f"`{key}`").cast("string").alias("k"), line.alias("line")).limit(room).collect():
+                self.warnings.append((self.copies, message.format(r["k"]), path, None, r["line"]))
+        return n
+
     def _do_copy_from(self, s: dict, params: dict) -> DataFrame:
         options = {k: self.constant(v, params) for k, v in s["options"].items()}
-        c = self.catalog
+        c, lost = self.catalog, 0
+        self.copies += 1
         node = c._find(c.nodes, s["table"])
         if node is not None:
             names = s["columns"] or [p for p in node.props if node.types.get(p) != "SERIAL"]
@@ -403,8 +416,10 @@ class Graph:
             df = files.read_by_column(self.spark, s["source"]["files"], names) if s["by_column"] else self.source(s["source"], options, params, schema if "files" in s["source"] else None)
             df = df.toDF(*names)
             if options.get("IGNORE_ERRORS") or options.get("SKIP_DUPLICATE_PK"):
-                df = df.where(F.col(f"`{node.pk}`").isNotNull()).dropDuplicates([node.pk]).join(node.df.select(node.pk), node.pk, "left_anti").select(*names)
-            dml.insert_nodes(self, node.name, df)
+                df, rejected = dml.first_of_each_key(df, node.pk, node.df)
+                if options.get("IGNORE_ERRORS"):
+                    lost += sum(self.warn(m, bad, node.pk, s["source"]) for m, bad in rejected)
+            n = dml.insert_nodes(self, node.name, df)
         else:
             rel = c.rel(s["table"])
             pair = (options.pop("FROM"), options.pop("TO")) if "FROM" in options else next(iter(rel.parts))
@@ -414,10 +429,12 @@ class Graph:
             df = self.source(s["source"], options, params, schema if "files" in s["source"] else None).toDF(*names)
             if options.get("IGNORE_ERRORS"):
                 for side, label in zip(("_src", "_dst"), pair, strict=True):
-                    n = c.nodes[label]
-                    df = df.join(n.df.select(F.col(f"`{n.pk}`").alias(side)), side, "left_semi").select(*names)
-            dml.insert_rels(self, rel.name, pair, df)
-        return self.message(f"Rows have been copied to the {s['table']} table.")
+                    keys = c.nodes[label].df.select(F.col(f"`{c.nodes[label].pk}`").alias(side))
+                    lost += self.warn("Unable to find primary key value {}.", df.join(keys, side, "left_anti").select(*names), side, s["source"])
+                    df = df.join(keys, side, "left_semi").select(*names)
+            n = dml.insert_rels(self, rel.name, pair, df)
+        told = f" {lost} warnings encountered during copy. Use 'CALL show_warnings() RETURN *' to view the actual warnings. Query ID: {self.copies}" if lost else ""
+        return self.message(f"{n} tuples have been copied to the {s['table']} table.{told}")
 
     def _do_copy_to(self, s: dict, params: dict) -> DataFrame:
         df = self._do_query(s["query"], params)

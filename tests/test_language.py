@@ -242,3 +242,25 @@ def test_projected_graphs(demo):
     demo.query("CALL drop_projected_graph('P')")
     with pytest.raises(QueryError):
         demo.query("CALL drop_projected_graph('P')")
+
+
+def test_rejected_rows_are_warnings(g, tmp_path):
+    g.query("CREATE NODE TABLE P(id INT64, name STRING, PRIMARY KEY(id)); CREATE REL TABLE K(FROM P TO P)")
+    (tmp_path / "p.csv").write_text("10,Guodong\n24,Semih\n31,Xiyang\n10,Ziyi\n,Nobody\n")
+    told = one(g, f"COPY P FROM '{tmp_path}/p.csv' (HEADER=false, IGNORE_ERRORS=true)")
+    assert told.startswith("3 tuples have been copied to the P table. 2 warnings encountered during copy.")
+    assert rows(g.query("MATCH (p:P) RETURN p.id AS id, p.name AS n ORDER BY id")) == [(10, "Guodong"), (24, "Semih"), (31, "Xiyang")]
+    got = rows(g.query("CALL show_warnings() RETURN message, file_path, skipped_line_or_record"))
+    assert ("Found duplicated primary key value 10, which violates the uniqueness constraint of the primary key column.", f"{tmp_path}/p.csv", "10,Ziyi") in got and len(got) == 2
+    g.query("CALL clear_warnings()")
+    (tmp_path / "k.csv").write_text("10,24\n10,99\n")
+    assert one(g, f"COPY K FROM '{tmp_path}/k.csv' (HEADER=false, IGNORE_ERRORS=true)").startswith("1 tuples have been copied to the K table. 1 warnings")
+    assert [r[1] for r in rows(g.query("CALL show_warnings() RETURN *"))] == ["Unable to find primary key value 99."]
+    assert one(g, f"COPY P FROM '{tmp_path}/p.csv' (HEADER=false, IGNORE_ERRORS=true)").startswith("0 tuples")
+
+
+def test_warnings_are_bounded(g, spark):
+    g.query("CREATE NODE TABLE P(id INT64, PRIMARY KEY(id)); CALL warning_limit = 3")
+    g.add_object("same", spark.range(0, 50, 1, 5).selectExpr("id % 2 as id"))
+    assert one(g, "COPY P FROM same (IGNORE_ERRORS=true)").startswith("2 tuples have been copied to the P table. 48 warnings")
+    assert len(rows(g.query("CALL show_warnings() RETURN *"))) == 3
