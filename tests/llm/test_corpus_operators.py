@@ -222,3 +222,25 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     got = cp.drop_near_copies(spark, spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "").select("doc_id", "text").collect()
     want = [(5, a), (3, b), (None, c), (None, d), (9, None)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_pipeline_mixing_keeps_every_row_in_order(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, "t", None, "rare" if i < 5 else None if i < 205 else "b" if i < 1205 else "c", 1) for i in range(5205)] + [(None, "t", None, "c", 1)] * 2
+    got = [tuple(r) for r in cp.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, rows))
+    # A source that has run out leaves the order; the others go on by their weights.
+    order = [r[3] for r in got]
+    last = {k: max(i for i, x in enumerate(order) if x == k) for k in set(order)}
+    weight = {None: 200**0.7, "b": 1000**0.7, "c": 4002**0.7}
+    live = [k for k in weight if last[k] > last["rare"]]
+    assert live == list(weight)
+    start, stop = last["rare"] + 1, min(last[k] for k in live)
+    assert stop - start > 500
+    for at in range(start, stop):
+        seen = Counter(order[start:at])
+        for k in live:
+            assert abs(seen[k] - (at - start) * weight[k] / sum(weight.values())) <= 4 * 8
+    few = cp.mix_sources(spark, spark.createDataFrame(rows[:7], "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r["doc_id"] for r in few.collect()) == list(range(7))
