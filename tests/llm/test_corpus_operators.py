@@ -244,3 +244,61 @@ def test_pipeline_mixing_keeps_every_row_in_order(spark):
             assert abs(seen[k] - (at - start) * weight[k] / sum(weight.values())) <= 4 * 8
     few = cp.mix_sources(spark, spark.createDataFrame(rows[:7], "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted(r["doc_id"] for r in few.collect()) == list(range(7))
+
+
+def planted_copies(rng, n):
+    """Texts of 100 to 400 words, each with a copy some of whose words are replaced."""
+    out = []
+    for _ in range(n):
+        text = words(rng, rng.choice((100, 250, 400)))
+        copy = list(text)
+        for at in rng.sample(range(len(text)), rng.randint(1, max(1, len(text) // 45))):
+            copy[at] = "replaced"
+        out += [" ".join(text), " ".join(copy)]
+    return out
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar_groups(texts):
+    sets = [shingle_set(t) for t in texts]
+    up = list(range(len(texts)))
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i)]
+    for i, j, s in pairs:
+        if s >= 0.8:
+            up = [up[j] if x == up[i] else x for x in up] if up[i] > up[j] else [up[i] if x == up[j] else x for x in up]
+    return up, [s for _, _, s in pairs if s >= 0.8]
+
+
+def test_near_dedup_finds_planted_copies(spark):
+    import corpus_pipeline as cp
+
+    texts = [*planted_copies(random.Random(12), 150), None, "", " \n", "two words", "Two  WORDS"]
+    groups, near = similar_groups(texts)
+    assert sum(0.8 <= s < 0.85 for s in near) >= 10 and sum(0.85 <= s < 0.95 for s in near) >= 10
+    frame = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in cp.drop_near_copies(spark, frame, "").collect())
+    assert got == sorted(set(groups))
+
+
+@pytest.mark.parametrize("limit", [2000, 20])
+def test_near_copies_in_a_large_group(spark, limit):
+    from tessera.llm import shingles
+
+    rng = random.Random(13)
+    base = words(rng, 200)
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.sample(range(200), 2):
+            copy[at] = words(rng, 1)[0] + "x"
+        texts.append(" ".join(copy))
+    texts += [" ".join(words(rng, 200)) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {}
+    for r in shingles.near_copies(frame, bucket_limit=limit).collect():
+        classes.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert sorted(min(x) for x in classes.values()) == sorted(set(similar_groups(texts)[0]))
