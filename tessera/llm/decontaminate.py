@@ -19,7 +19,9 @@ from . import bytescan as bs
 from .common import utf8
 
 # Seed masks over a window of tokens (1 compares, 0 ignores).
-MASKS = ("1111011", "1101111", "11101011", "11011011")
+# Any 13 to 300 tokens of which four fifths are equal, the first and the last among
+# them, hold all compared positions of one of them.
+MASKS = ("1111011", "1101111", "11101011", "11011011", "111111", "110101011")
 BLOCK_TOKENS = 2_000_000
 # Letters and digits of ASCII (lower-cased) and every byte of a longer character.
 _WORD = np.zeros(256, dtype=bool)
@@ -28,6 +30,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def whole_masks(size: int, share: float) -> list[str]:
+    """Masks over a whole item of ``size`` tokens that together miss no substitutions within ``share``.
+
+    Of one group of inner tokens more than there may be substitutions, one group has
+    none; each mask compares one group and both ends.
+    """
+    groups = int((1 - share) * size + 1e-9) + 1
+    return sorted({"".join("1" if i in (0, size - 1) or i * groups // size == g else "0" for i in range(size)) for g in range(groups)})
+
+
 class Tokens:
     """Token hashes of many texts in one array, with the row each belongs to."""
 
@@ -69,18 +81,29 @@ class Tokens:
 class SeedIndex:
     """Sorted seed hashes of a bounded block of test items, with a bit filter in front."""
 
-    def __init__(self, items: list[tuple[object, bytes]]):
+    def __init__(self, items: list[tuple[object, bytes]], share: float = 0.8, least: int = 13):
         self.names = [i for i, _ in items]
         off = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
         self.tokens = Tokens(np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), off)
         self.size = np.diff(self.tokens.first)
         self.tables = []
         for mask in MASKS:
-            at, h = self.tokens.seeds(mask)
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 22, dtype=bool)
-            bits[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((mask, h[order], at[order], bits))
+            self.add(mask, self.size >= least)
+        for size in np.unique(self.size[(self.size > 0) & (self.size < least)]).tolist():
+            for mask in whole_masks(size, share):
+                self.add(mask, self.size == size)
+
+    def add(self, mask: str, among: np.ndarray) -> None:
+        """Index the windows of one mask in some of the items."""
+        at, h = self.tokens.seeds(mask)
+        chosen = among[self.tokens.rows[at]]
+        at, h = at[chosen], h[chosen]
+        if not len(at):
+            return
+        order = np.argsort(h, kind="stable")
+        bits = np.zeros(1 << 22, dtype=bool)
+        bits[(h >> np.uint64(42)).astype(np.int64)] = True
+        self.tables.append((mask, h[order], at[order], bits))
 
     def hits(self, t: Tokens) -> np.ndarray:
         """Distinct (row, item, diagonal) triples with a seed in common."""
@@ -94,7 +117,10 @@ class SeedIndex:
             src = np.repeat(at, n)
             dst = places[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             item = self.tokens.rows[dst]
-            found.append(np.stack([t.rows[src], item, (src - t.first[t.rows[src]]) - (dst - self.tokens.first[item])], 1))
+            triples = np.stack([t.rows[src], item, (src - t.first[t.rows[src]]) - (dst - self.tokens.first[item])], 1)
+            if "0" not in mask and len(mask) < 6:  # a short item, whole: its first place in a text is enough
+                triples = triples[np.unique(triples[:, :2], axis=0, return_index=True)[1]]
+            found.append(triples)
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def verify(self, t: Tokens, row: int, item: int, diagonal: int, share: float, least: int) -> tuple[int, int, int] | None:
@@ -143,7 +169,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: i
     A text overlaps an item when some stretch of ``least`` tokens (or the whole
     item, where that is shorter), from an equal token to an equal token, agrees
     in at least ``share`` of its tokens at equal offsets and has a spaced seed in
-    common. Items without tokens match
+    common. With the defaults every such stretch of up to 300 tokens has one, and
+    whole items always do. Items without tokens match
     nothing. Null texts and items count as empty; repeated items are reported
     once each, repeated rows each by itself. doc_key tells rows with equal
     doc_id but different text apart. The test set is used in blocks of bounded
@@ -156,7 +183,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: i
     items = benchmark.select(benchmark["item_id"].alias("item_id"), utf8(benchmark["text"]).alias("body"))
     out = spark.createDataFrame([], schema)
     for block in _blocks(items):
-        held = spark.sparkContext.broadcast(SeedIndex(block))
+        held = spark.sparkContext.broadcast(SeedIndex(block, share, least))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value

@@ -1,5 +1,6 @@
 """Decontamination, neighbours, toxicity, mixing, sharding and the pipeline."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -302,3 +303,35 @@ def test_near_copies_in_a_large_group(spark, limit):
     for r in shingles.near_copies(frame, bucket_limit=limit).collect():
         classes.setdefault(r["class_id"], []).append(r["doc_id"])
     assert sorted(min(x) for x in classes.values()) == sorted(set(similar_groups(texts)[0]))
+
+
+def substitutions(n):
+    """Every pattern of equal tokens with four fifths equal, both ends among them."""
+    for k in range(int(0.2 * n + 1e-9) + 1):
+        for gone in itertools.combinations(range(1, n - 1), k):
+            yield [i not in gone for i in range(n)]
+
+
+def test_masks_miss_no_substitutions():
+    for n in range(1, 21):
+        masks = decontaminate.MASKS if n >= 13 else decontaminate.whole_masks(n, 0.8)
+        for equal in substitutions(n):
+            assert any(all(equal[at + i] for i, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1)), (n, equal)
+
+
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(14)
+    items = {n: [f"item{n}x{i}" for i in range(n)] for n in range(1, 15)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for equal in substitutions(n):
+            rows.append((len(rows), " ".join(words(rng, 9) + [w if e else "zzz" for w, e in zip(item, equal, strict=True)] + words(rng, 9))))
+            want.add((len(rows) - 1, n))
+        rows.append((len(rows), " ".join(words(rng, 9) + item[: n - 1] + words(rng, 9))))
+        want |= {(len(rows) - 1, n)} if n == 14 else set()  # 13 tokens of it
+        rows.append((len(rows), " ".join(words(rng, 9) + item[:1] * (n > 1) + ["zzz"] * (n - 1))))
+    rows.append((len(rows), " ".join(items[1] * 50)))
+    want.add((len(rows) - 1, 1))
+    got = decontaminate.overlaps(docs(spark, rows), bench(spark, [(n, " ".join(x)) for n, x in items.items()])).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+    assert all(r["n_tokens"] == r["item_id"] for r in got if r["item_id"] < 13)
