@@ -26,7 +26,8 @@ BASE_KINDS = ("assign", "access", "hex")
 WEAK = (
     ("identifier", re.compile(r"""(?:user_?name|user|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}""", re.I | re.A)),
     ("identifier", re.compile(r"(?<![A-Z0-9])A[KS]IA[A-Z0-9]{8,16}(?![A-Z0-9])")),
-    ("material", re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{28,88}={0,2}(?![A-Za-z0-9+/=_-])")),
+    ("material", re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{28,}={0,2}(?![A-Za-z0-9+/=_-])")),
+    ("material", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Z])(?=[A-Za-z0-9_-]*[a-z])[A-Za-z0-9_-]{28,}={0,2}(?![A-Za-z0-9+/=_-])")),
     ("material", re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,23}(?![0-9A-Za-z])")),
     ("endpoint", re.compile(r"""(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}""")),
     ("endpoint", re.compile(r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""", re.I | re.A)),
@@ -51,9 +52,14 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def weak_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Weak parts that don't touch a base span or one another."""
-    found = sorted((m.start(), -m.end(), role) for role, pattern in WEAK for m in pattern.finditer(text))
+def weak_parts(text: str) -> list[Span]:
+    """All matches of the weak patterns, overlapping or not."""
+    return [(role, *m.span()) for role, pattern in WEAK for m in pattern.finditer(text)]
+
+
+def apart(parts: list[Span], taken: list[Span]) -> list[Span]:
+    """Of ``parts`` those that don't touch a taken span or one another, the first and longest."""
+    found = sorted((s, -e, role) for role, s, e in parts)
     busy = sorted((s, e) for _, s, e in taken)
     begins, free, last = [s for s, _ in busy], [], -1
     reach, most = [], -1  # furthest end of the base spans so far
@@ -70,6 +76,11 @@ def weak_spans(text: str, taken: list[Span]) -> list[Span]:
     return free
 
 
+def weak_spans(text: str, taken: list[Span]) -> list[Span]:
+    """Weak parts that don't touch a base span or one another."""
+    return apart(weak_parts(text), taken)
+
+
 def link(base: list[Span], weak: list[Span], reach: int) -> list[Span]:
     """Interval join of parts widened by ``reach``: the weak parts that meet a complement."""
     by_role: dict[str, list[tuple[int, int]]] = {}
@@ -98,8 +109,19 @@ def joined(spans: list[Span]) -> str:
 
 
 def scan_text(text: str, reach: int) -> tuple[list[Span], list[Span]]:
+    """Base spans, and linked weak parts that touch neither them nor one another.
+
+    Identifiers and material are linked before endpoints take their place, so
+    those inside a URL complement each other; a URL is no complement of what it
+    holds itself.
+    """
     base = base_spans(text)
-    return base, link(base, weak_spans(text, base), reach)
+    parts = weak_parts(text)
+    linked = link(base, apart(parts, base), reach)
+    inside = link(base, apart([x for x in parts if x[0] != "endpoint"], base), reach)
+    known = set(linked)
+    more = apart([x for x in inside if x not in known], base + linked)
+    return base, sorted(linked + more, key=lambda x: x[1:])
 
 
 def find_secrets(docs: DataFrame, reach: int = 300) -> DataFrame:
