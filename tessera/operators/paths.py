@@ -1,24 +1,27 @@
 """Variable-length, shortest and weighted paths as loops over a frontier.
 
 All sources are searched together: the frontier is a DataFrame of (source,
-current node, what the path has gathered), extended by one join a level. Path
-contents are gathered only where the query reads them. Searches that must visit
-nodes once, and unbounded ones, write each level to the shared folder, which
-keeps plans short and lets a lost executor redo one level only.
+current node, cost, hops), extended by one join a level. Only keys travel; the
+hops of a path are remembered, as keys, only where the query reads them or where
+nodes or relationships must not repeat, and the nodes' and relationships' values
+are joined in once at the end. Searches that must visit nodes once, and
+unbounded ones, write every second level to the shared folder, which keeps plans
+short and lets a lost executor redo two levels only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.binder import Binder, Node, Rel, Scope, Walk, walk
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, materialize_counted
 from ..plans.parser import QueryError
 
+LEVELS = 2  # levels between two writes
+
 
 def extend(m, e: dict) -> None:
     spec, name = e["item"]["walk"], e["name"]
@@ -37,69 +40,244 @@ def extend(m, e: dict) -> None:
     for v in m.scope.vars.values():
         if getattr(v, "items", None) and name in v.items:
             asked |= m.scope.used.get(v.name, set())
-    full = bool(asked - {"#length", "#id"})
     left, right = m.nodes[e["left"]], m.nodes[e["right"]]
+    s = Search(m, e, kind, low, high, full=bool(asked - {"#length", "#id"}))
 
-    edges, node_props, rel_props = edge_table(m, e, spec, full)
-    source = m.scope.df.select(F.col(f"{left.name}___id").alias("s"), F.col(f"{left.name}___label").alias("sl")).distinct().where("s is not null")
-    source = source.withColumns({"s": F.col("s").cast("string"), "v": F.col("s").cast("string"), "vl": F.col("sl")})
-    found = search(m, kind, source, edges, low, high, spec, full, e)
+    at = lambda v, key, label: (F.col(f"{v.name}___id").cast(s.type) == F.col(key)) & (F.col(f"{v.name}___label") == F.col(label))
+    source = m.scope.df.select(F.col(f"{left.name}___id").cast(s.type).alias("s"), F.col(f"{left.name}___label").alias("sl")).distinct().where("s is not null")
+    found = s.run(source)
     ends = {"s": f"{name}___s", "sl": f"{name}___sl", "v": f"{name}___v", "vl": f"{name}___vl", "len": f"{name}___len", "nodes": f"{name}___nodes", "rels": f"{name}___rels", "cost": f"{name}___cost"}
-    if e.get("flipped") and full:
-        found = found.withColumns({"nodes": F.reverse("nodes"), "rels": F.reverse("rels")})
     found = found.select(*[F.col(k).alias(x) for k, x in ends.items() if k in found.columns])
-    df = m.scope.df
-    df = df.join(found, (df[f"{left.name}___id"].cast("string") == found[ends["s"]]) & (df[f"{left.name}___label"] == found[ends["sl"]]))
+    df = m.scope.df.join(found, at(left, ends["s"], ends["sl"]))
     if e["right"] in m.placed:
-        df = df.where((F.col(f"{right.name}___id").cast("string") == F.col(ends["v"])) & (F.col(f"{right.name}___label") == F.col(ends["vl"])))
-        m.scope.df = df
-    else:
-        m.describe(right)
-        frame = m.node_frame(right)
-        m.scope.df = df.join(frame, (frame[f"{right.name}___id"].cast("string") == df[ends["v"]]) & (frame[f"{right.name}___label"] == df[ends["vl"]]))
-    m.scope.vars[name] = Walk(name, node_props)
+        m.scope.df = df.where(at(right, ends["v"], ends["vl"]))
+    elif m.node_needed(right):
+        m.scope.df = df.join(m.node_frame(right), at(right, ends["v"], ends["vl"]))
+    else:  # the key is all that is asked of the end node
+        kinds = key_types(m, right.labels)
+        key = F.col(ends["v"]).cast(kinds.pop() if len(kinds) == 1 else "string")
+        m.scope.df = df.where(F.col(ends["vl"]).isin(right.labels)).withColumns({f"{right.name}___id": key, f"{right.name}___label": F.col(ends["vl"])})
+    m.scope.vars[name] = Walk(name, s.node_props)
     m.scope.df = m.scope.df.drop(*[x for k, x in ends.items() if k in ("s", "sl", "v", "vl")])
     if e["right"] not in m.placed:
         m.bound(e["right"])
 
 
-def edge_table(m, e: dict, spec: dict, full: bool) -> tuple[DataFrame, list[str], list[str]]:
-    """Oriented edges (a, al, b, bl, rid[, w, rel, node]); node is the struct of b."""
-    catalog, frames = m.catalog, []
-    rel_props = list(dict.fromkeys(p for x in e["labels"] for p in catalog.rels[x].props))
-    labels = list(dict.fromkeys(x for r in e["labels"] for pair in catalog.rels[r].parts for x in pair))
-    for label in e["labels"]:
-        for (s, d), df in catalog.rels[label].parts.items():
-            r = Rel("r", [label], rel_props)
-            flat = df.select(F.col("_src").alias("r___src"), F.lit(s).alias("r___srclabel"), F.col("_dst").alias("r___dst"), F.lit(d).alias("r___dstlabel"), F.lit(label).alias("r___label"), F.col("_rid").alias("r___rid"), *[(F.col(f"`{p}`") if p in df.columns else F.lit(None).cast(m.graph.prop_type(p))).alias(f"r__{p}") for p in rel_props])
-            scope = Scope(m.graph, flat, {spec["r"] or "r": r}, m.scope.params, {})
-            for c in conditions(spec, rel=True):
-                scope = scope.at(scope.df.where(Binder(scope).expr(c)))
-            for k, x in e["item"]["props"]:
-                scope = scope.at(scope.df.where(Binder(scope).expr(("op", "=", ("prop", ("var", spec["r"] or "r"), k), x))))
-            body = [Binder(scope).rel_struct(r).alias("rel")] if full else []
-            weight = [F.col(f"r__{spec['weight']}").cast("double").alias("w")] if spec["weight"] else []
-            one = lambda a, al, b, bl, scope=scope, body=body, weight=weight: scope.df.select(F.col(a).cast("string").alias("a"), F.col(al).alias("al"), F.col(b).cast("string").alias("b"), F.col(bl).alias("bl"), F.col("r___rid").alias("rid"), *weight, *body)
-            way = e["item"]["dir"]
-            if way in ("out", "both"):
-                frames.append(one("r___src", "r___srclabel", "r___dst", "r___dstlabel"))
-            if way in ("back", "both"):
-                frames.append(one("r___dst", "r___dstlabel", "r___src", "r___srclabel"))
-    edges = reduce(lambda x, y: x.unionByName(y), frames)
-    if spec["weight"]:
-        edges = edges.withColumn("w", F.when(F.col("w") < 0, F.raise_error(F.lit("Found negative weight."))).otherwise(F.col("w"))).where("w is not null")
-    node_props = []
-    if full:
-        v = Node("n", labels, [])
-        m.describe(v)
-        node_props = v.props
-        inner = Scope(m.graph, m.graph.dummy(), {}, {}, {"n": {"*"}})
+def key_types(m, labels: list[str]) -> set[str]:
+    nodes = m.catalog.nodes
+    return {nodes[x].df.schema[nodes[x].pk].dataType.simpleString() for x in labels}
+
+
+def projected(listed: list | None, have: list[str]) -> list[str]:
+    """The properties that a recursive projection names, or all without one."""
+    if listed is None:
+        return have
+    names = {x[2].lower() if x[0] == "prop" else x[1].lower() for x in listed}
+    return [p for p in have if p.lower() in names]
+
+
+class Search:
+    """One recursive pattern: its edges as keys, and its search."""
+
+    def __init__(self, m, e: dict, kind: str, low: int, high: int, full: bool):
+        self.m, self.e, self.spec, self.kind, self.low, self.high, self.full = m, e, e["item"]["walk"], kind, low, high, full
+        self.labels = list(dict.fromkeys(x for r in e["labels"] for pair in m.catalog.rels[r].parts for x in pair))
+        ends = [x for n in (e["left"], e["right"]) for x in m.nodes[n].labels]
+        kinds = key_types(m, [*self.labels, *ends])
+        self.type = kinds.pop() if len(kinds) == 1 else "string"
+        self.only = self.labels[0] if len(self.labels) == 1 else None
+        self.key = ["s", "v"] if self.only else ["s", "sl", "v", "vl"]
+        self.tracked = full or kind in ("TRAIL", "ACYCLIC")
+        self.weighted, self.shortest = "WSHORTEST" in kind, "SHORTEST" in kind
+        self.node_props: list[str] = []
+        self.scopes = list(self.relationships())
+        self.edges = self.edge_table()
+        self.middle = self.allowed_nodes()
+
+    # ------------------------------------------------------------- edges
+    def relationships(self):
+        """(part number, scope, relationship variable) of each table, filtered."""
+        m, e, spec = self.m, self.e, self.spec
+        props = list(dict.fromkeys(p for x in e["labels"] for p in m.catalog.rels[x].props))
+        number = 0
+        for label in e["labels"]:
+            for (s, d), df in m.catalog.rels[label].parts.items():
+                r = Rel("r", [label], props)
+                flat = df.select(F.col("_src").alias("r___src"), F.lit(s).alias("r___srclabel"), F.col("_dst").alias("r___dst"), F.lit(d).alias("r___dstlabel"), F.lit(label).alias("r___label"), F.col("_rid").alias("r___rid"), *[(F.col(f"`{p}`") if p in df.columns else F.lit(None).cast(m.graph.prop_type(p))).alias(f"r__{p}") for p in props])
+                scope = Scope(m.graph, flat, {spec["r"] or "r": r}, m.scope.params, {})
+                for c in conditions(spec, rel=True):
+                    scope = scope.at(scope.df.where(Binder(scope).expr(c)))
+                for k, x in e["item"]["props"]:
+                    scope = scope.at(scope.df.where(Binder(scope).expr(("op", "=", ("prop", ("var", spec["r"] or "r"), k), x))))
+                yield number, scope, Rel("r", [label], projected(spec["rel_proj"], props))
+                number += 1
+
+    def edge_table(self) -> DataFrame:
+        """Oriented edges: a, b, their labels where there are several, rid and weight w."""
+        frames, way = [], self.e["item"]["dir"]
+        for number, scope, _ in self.scopes:
+            cols = [F.struct(F.lit(number).alias("p"), F.col("r___rid").alias("n")).alias("rid")] if self.tracked else []
+            if self.weighted:
+                cols.append(F.col(f"r__{self.spec['weight']}").cast("double").alias("w"))
+            for a, b in ([("src", "dst")] if way in ("out", "both") else []) + ([("dst", "src")] if way in ("back", "both") else []):
+                named = [] if self.only else [F.col(f"r___{a}label").alias("al"), F.col(f"r___{b}label").alias("bl")]
+                frames.append(scope.df.select(F.col(f"r___{a}").cast(self.type).alias("a"), F.col(f"r___{b}").cast(self.type).alias("b"), *named, *cols))
+        edges = reduce(lambda x, y: x.unionByName(y), frames)
+        if self.weighted:
+            edges = edges.withColumn("w", F.when(F.col("w") < 0, F.raise_error(F.lit("Found negative weight."))).otherwise(F.col("w"))).where("w is not null")
+        return materialize(edges) if self.spec["high"] is None or self.high > 3 or self.shortest else edges
+
+    def allowed_nodes(self) -> DataFrame | None:
+        """Keys of the nodes that may be intermediate, or None for all."""
+        tests = conditions(self.spec, rel=False)
+        if not tests:
+            return None
+        v = Node(self.spec["n"], self.labels, [])
+        frame = self.node_frame(v)
+        scope = Scope(self.m.graph, frame, {self.spec["n"]: v}, self.m.scope.params, {})
+        for c in tests:
+            scope = scope.at(scope.df.where(Binder(scope).expr(c)))
+        return scope.df.select(F.col(f"{v.name}___id").cast(self.type).alias("v"), *([] if self.only else [F.col(f"{v.name}___label").alias("vl")])).distinct()
+
+    def node_frame(self, v: Node) -> DataFrame:
         from .match import Matcher
 
-        frame = Matcher(inner).node_frame(v)
-        nodes = frame.select(F.col("n___id").cast("string").alias("b"), F.col("n___label").alias("bl"), Binder(Scope(m.graph, frame, {"n": v}, {}, {})).node_struct(v).alias("node"))
-        edges = edges.join(nodes, ["b", "bl"])
-    return edges, node_props, rel_props
+        self.m.describe(v)
+        return Matcher(Scope(self.m.graph, self.m.graph.dummy(), {}, self.m.scope.params, {v.name: {"*"}})).node_frame(v)
+
+    # ------------------------------------------------------------ search
+    def run(self, source: DataFrame) -> DataFrame:
+        """Rows (s, sl, v, vl, len[, nodes, rels, cost]) of the paths found."""
+        if self.only:  # a source of another label has no path along these relationships
+            start = source.where(F.col("sl") == self.only).select("s", F.col("s").alias("v"), F.lit(0).alias("len"))
+        else:
+            start = source.select("s", F.col("s").alias("v"), "sl", F.col("sl").alias("vl"), F.lit(0).alias("len"))
+        if self.tracked:
+            label = [] if self.only else [F.lit("").alias("bl")]
+            hop = F.struct(F.lit(None).cast(self.type).alias("b"), *label, F.struct(F.lit(0).alias("p"), F.lit(0).cast("long").alias("n")).alias("rid"))
+            start = start.withColumn("path", F.slice(F.array(hop), 1, 0))
+        if self.weighted:
+            start = start.withColumn("cost", F.lit(0.0))
+        found = self.weighted_paths(start) if self.weighted else self.levels(start)
+        if self.full:
+            found = self.filled(found)
+        if self.only:
+            found = found.withColumns({"sl": F.lit(self.only), "vl": F.lit(self.only)})
+        return found
+
+    def step(self, front: DataFrame) -> DataFrame:
+        """Every path one hop longer."""
+        if self.middle is not None:
+            on = [c for c in self.key if c in ("v", "vl")]
+            past = front.where("len > 0").join(self.middle, on, "left_semi")
+            front = front.where("len = 0").unionByName(past)
+        if self.kind == "ACYCLIC":  # what is left behind becomes an intermediate node
+            same = lambda x: (x["b"] == F.col("v")) if self.only else (x["b"] == F.col("v")) & (x["bl"] == F.col("vl"))
+            front = front.where((F.col("len") == 0) | ~F.exists(F.slice("path", F.lit(1), F.greatest(F.col("len") - 1, F.lit(0))), same))
+        on = F.col("v") == F.col("a")
+        j = front.join(self.edges, on if self.only else on & (F.col("vl") == F.col("al")))
+        if self.kind == "TRAIL":
+            j = j.where(~F.exists("path", lambda x: x["rid"] == F.col("rid")))
+        cols = [F.col("s"), F.col("b").alias("v"), *([] if self.only else [F.col("sl"), F.col("bl").alias("vl")]), (F.col("len") + 1).alias("len")]
+        if self.tracked:
+            cols.append(F.array_append("path", F.struct("b", *([] if self.only else ["bl"]), "rid")).alias("path"))
+        if self.weighted:
+            cols.append((F.col("cost") + F.col("w")).alias("cost"))
+        return j.select(*cols)
+
+    def one_each(self, rows: DataFrame, first: str) -> DataFrame:
+        """One row of each pair of ends: the smallest by ``first``, then by its path."""
+        rest = [c for c in rows.columns if c not in self.key]
+        order = [first, *[c for c in rest if c != first]]
+        return rows.groupBy(*self.key).agg(F.min(F.struct(*order)).alias("x")).select(*self.key, *[F.col(f"x.{c}").alias(c) for c in rest])
+
+    def levels(self, start: DataFrame) -> DataFrame:
+        looped = self.shortest or self.spec["high"] is None or self.high > 3
+        out = [start] if self.low == 0 else []
+        front, visited, level = start, start.select(*self.key), 0
+        while level < self.high:
+            wave = []
+            for _ in range(min(LEVELS if looped else self.high, self.high - level)):
+                front = self.step(front)
+                if self.shortest:
+                    front = front.join(visited, self.key, "left_anti").select(*start.columns)
+                    if self.kind == "SHORTEST":
+                        front = self.one_each(front, "len")
+                    visited = visited.unionByName(front.select(*self.key).distinct())
+                wave.append(front)
+            level += len(wave)
+            if not looped:
+                out += [x for i, x in enumerate(wave) if level - len(wave) + i + 1 >= self.low]
+                continue
+            kept, n = materialize_counted(reduce(lambda a, b: a.unionByName(b), wave))
+            if not n:
+                break
+            out.append(kept.where(F.col("len") >= self.low) if level - len(wave) + 1 < self.low else kept)
+            front = kept.where(F.col("len") == level)
+            if self.shortest:
+                visited = reduce(lambda a, b: a.unionByName(b), [start.select(*self.key), *[x.select(*self.key).distinct() for x in out]])
+        return reduce(lambda a, b: a.unionByName(b), out) if out else start.limit(0)
+
+    def weighted_paths(self, start: DataFrame) -> DataFrame:
+        """Rounds of relaxation. A row is kept where it is cheaper than (ALL: as
+        cheap as) every earlier row of its ends; the cheapest of all rounds remain."""
+        waves = [materialize(start)]
+        front, level = waves[0], 0
+        every = self.kind.startswith("ALL")
+        while level < self.high:
+            best = reduce(lambda a, b: a.unionByName(b), waves).groupBy(*self.key).agg(F.min("cost").alias("old"))
+            wave = []
+            for _ in range(min(LEVELS, self.high - level)):
+                new = self.step(front)
+                if every:
+                    least = new.groupBy(*self.key).agg(F.min("cost").alias("least"))
+                    new = new.join(least, self.key).where("cost = least").drop("least")
+                else:
+                    new = self.one_each(new, "cost")
+                new = new.join(best, self.key, "left").where(F.col("old").isNull() | ((F.col("cost") <= F.col("old")) if every else (F.col("cost") < F.col("old"))))
+                front = new.select(*start.columns)
+                best = best.unionByName(front.groupBy(*self.key).agg(F.min("cost").alias("old"))).groupBy(*self.key).agg(F.min("old").alias("old"))
+                wave.append(front)
+                level += 1
+            kept, n = materialize_counted(reduce(lambda a, b: a.unionByName(b), wave))
+            if not n:
+                break
+            waves.append(kept)
+            front = kept.where(F.col("len") == level)
+        rows = reduce(lambda a, b: a.unionByName(b), waves)
+        apart = F.col("s") != F.col("v")
+        rows = rows.where(apart if self.only else apart | (F.col("sl") != F.col("vl"))).where("len > 0")
+        if not every:
+            return self.one_each(rows, "cost")
+        best = rows.groupBy(*self.key).agg(F.min("cost").alias("old"))
+        return rows.join(best, self.key).where("cost = old").drop("old")
+
+    # ------------------------------------------------------------ values
+    def filled(self, found: DataFrame) -> DataFrame:
+        """The paths with nodes (intermediate ones) and rels as arrays of their values."""
+        m, spec = self.m, self.spec
+        v = Node("n", self.labels, [])
+        frame = self.node_frame(v)
+        self.node_props = projected(spec["node_proj"], v.props)
+        struct = Binder(Scope(m.graph, frame, {"n": v}, {}, {})).node_struct(Node("n", self.labels, self.node_props, v.pk))
+        nodes = frame.select(F.col("n___id").cast(self.type).alias("b"), *([] if self.only else [F.col("n___label").alias("bl")]), struct.alias("node"))
+        rels = reduce(lambda x, y: x.unionByName(y), [scope.df.select(F.struct(F.lit(number).alias("p"), F.col("r___rid").alias("n")).alias("rid"), Binder(scope).rel_struct(r).alias("rel")) for number, scope, r in self.scopes]).dropDuplicates(["rid"])
+
+        found = materialize(found.withColumn("pid", F.monotonically_increasing_id()))
+        hops = found.select("pid", F.posexplode("path").alias("i", "hop")).select("pid", "i", "hop.*")
+        hops = hops.join(rels, "rid").join(nodes, ["b"] if self.only else ["b", "bl"])
+        lists = hops.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("i", "rel", "node")), by_place).alias("l"))
+        lists = lists.select("pid", F.transform("l", lambda x: x["rel"]).alias("rels"), F.transform(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), lambda x: x["node"]).alias("nodes"))
+        kinds = {f.name: f.dataType for f in lists.schema.fields}
+        out = found.join(lists, "pid", "left").drop("pid", "path")
+        out = out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("rels", "nodes")})
+        if self.e.get("flipped"):
+            out = out.withColumns({c: F.reverse(c) for c in ("rels", "nodes")})
+        return out
+
+
+def by_place(a: Column, b: Column) -> Column:
+    return (a["i"] - b["i"]).cast("int")
 
 
 def conditions(spec: dict, rel: bool) -> list:
@@ -114,113 +292,3 @@ def conditions(spec: dict, rel: bool) -> list:
         if (spec["r"] in names) == rel and (rel or spec["n"] in names):
             out.append(c)
     return out
-
-
-def allowed_nodes(m, e: dict, spec: dict) -> DataFrame | None:
-    """Keys of the nodes that may be intermediate, or None for all."""
-    tests = conditions(spec, rel=False)
-    if not tests:
-        return None
-    from .match import Matcher
-
-    labels = list(dict.fromkeys(x for r in e["labels"] for pair in m.catalog.rels[r].parts for x in pair))
-    v = Node(spec["n"], labels, [])
-    inner = Scope(m.graph, m.graph.dummy(), {}, m.scope.params, {spec["n"]: {"*"}})
-    frame = Matcher(inner).node_frame(v)
-    scope = Scope(m.graph, frame, {spec["n"]: v}, m.scope.params, {})
-    for c in tests:
-        scope = scope.at(scope.df.where(Binder(scope).expr(c)))
-    return scope.df.select(F.col(f"{v.name}___id").cast("string").alias("v"), F.col(f"{v.name}___label").alias("vl")).distinct()
-
-
-def search(m, kind: str, source: DataFrame, edges: DataFrame, low: int, high: int, spec: dict, full: bool, e: dict) -> DataFrame:
-    """Rows (s, sl, v, vl, len[, nodes, rels, cost]) of the paths found."""
-    middle = allowed_nodes(m, e, spec)
-    weighted = "WSHORTEST" in kind
-    trail, acyclic = kind == "TRAIL", kind == "ACYCLIC"
-    node_type, rel_type = (edges.schema["node"].dataType, edges.schema["rel"].dataType) if full else (None, None)
-    start = source.withColumn("len", F.lit(0))
-    if full:
-        start = start.withColumns({"nodes": F.array().cast(T.ArrayType(node_type)), "rels": F.array().cast(T.ArrayType(rel_type)), "last": F.lit(None).cast(node_type)})
-    if trail:
-        start = start.withColumn("rids", F.array().cast("array<bigint>"))
-    if acyclic:
-        start = start.withColumn("seen", F.array().cast("array<string>"))
-    if weighted:
-        start = start.withColumn("cost", F.lit(0.0))
-    edges = edges if not (spec["high"] is None or high > 3 or "SHORTEST" in kind) else materialize(edges)
-
-    def step(front: DataFrame) -> DataFrame:
-        if middle is not None:
-            at_start = front.where("len = 0")
-            front = at_start.unionByName(front.where("len > 0").join(middle, ["v", "vl"], "left_semi").select(*at_start.columns))
-        if acyclic:  # what is left behind becomes an intermediate node
-            me = F.concat_ws(":", "vl", "v")
-            front = front.where((F.col("len") == 0) | ~F.array_contains("seen", me)).withColumn("seen", F.when(F.col("len") > 0, F.array_append("seen", me)).otherwise(F.col("seen")))
-        j = front.join(edges, (front["v"] == edges["a"]) & (front["vl"] == edges["al"]))
-        if trail:
-            j = j.where(~F.array_contains("rids", F.col("rid")))
-        cols = [F.col("s"), F.col("sl"), F.col("b").alias("v"), F.col("bl").alias("vl"), (F.col("len") + 1).alias("len")]
-        if full:
-            cols += [F.when(F.col("last").isNotNull(), F.array_append("nodes", F.col("last"))).otherwise(F.col("nodes")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"), F.col("node").alias("last")]
-        if trail:
-            cols.append(F.array_append("rids", F.col("rid")).alias("rids"))
-        if acyclic:
-            cols.append(F.col("seen"))
-        if weighted:
-            cols.append((F.col("cost") + F.col("w")).alias("cost"))
-        return j.select(*cols)
-
-    key = ["s", "sl", "v", "vl"]
-    out: list[DataFrame] = []
-    front = start
-    if weighted:
-        return weighted_paths(start, step, key, high, kind, full)
-    shortest = "SHORTEST" in kind
-    looped = shortest or spec["high"] is None or high > 3
-    if low == 0:
-        out.append(front)
-    visited = start.select(*key)
-    for level in range(1, high + 1):
-        front = step(front)
-        if shortest:
-            front = front.join(visited, key, "left_anti").select(*front.columns)
-            if kind == "SHORTEST":
-                rest = [c for c in front.columns if c not in key]
-                front = front.groupBy(*key).agg(F.first(F.struct(*rest)).alias("x")).select(*key, "x.*")
-        if looped:
-            front = materialize(front)
-            if front.isEmpty():
-                break
-        if shortest:
-            visited = visited.unionByName(front.select(*key).distinct())
-        if level >= low:
-            out.append(front)
-    if not out:
-        out.append(start.limit(0))
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
-def weighted_paths(start, step, key, high, kind, full) -> DataFrame:
-    """Rounds of relaxation; every kept row is a cheapest path so far."""
-    best = materialize(start)
-    front = best
-    rest = [c for c in start.columns if c not in key]
-    for _ in range(high):
-        new = step(front)
-        cheapest = best.groupBy(*key).agg(F.min("cost").alias("old"))
-        if kind == "WSHORTEST":
-            new = new.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col("cost")).alias("x")).select(*key, "x.*")
-            new = new.join(cheapest, key, "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old")
-        else:
-            floor = new.groupBy(*key).agg(F.min("cost").alias("least"))
-            new = new.join(floor, key).where(F.col("cost") == F.col("least")).drop("least")
-            new = new.join(cheapest, key, "left").where(F.col("old").isNull() | (F.col("cost") <= F.col("old"))).drop("old")
-        new = materialize(new.select(*start.columns))
-        if new.isEmpty():
-            break
-        better = new.groupBy(*key).agg(F.min("cost").alias("now"))
-        kept = best.join(better, key, "left").where(F.col("now").isNull() | (F.col("cost") <= F.col("now"))).drop("now")
-        best = materialize(kept.select(*start.columns).unionByName(new))
-        front = new
-    return best.where("len > 0 and not (s = v and sl = vl)")

@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that every executor reaches.
+
+    In local mode a temporary folder stands in where the setting is absent; on a
+    cluster there is no such folder, so the setting is required.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under spark.checkpoint.dir and read it back.
 
     Used where a plan would otherwise grow without end (path searches) or where
-    a side effect must happen once (changes of tables).
+    a side effect must happen once (changes of tables). The files are removed
+    when the session ends.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, counted while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the session's JVM remove ``path`` when it ends."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

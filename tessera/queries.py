@@ -28,9 +28,13 @@ RELS = {
 
 
 def knows_edges(customers: DataFrame) -> DataFrame:
-    """A sparse directed graph over customers for walks and shortest paths."""
-    c = customers.select("c_custkey", (F.col("c_custkey") * 7 + F.col("c_nationkey")).alias("h")).where("c_custkey <= 97")
-    return c.select("c_custkey", F.explode(F.array(F.col("h") % 97 + 1, F.col("h") % 89 + 1)).alias("to")).select("c_custkey", "to", (F.col("c_custkey") % 5 + F.col("to") % 3 + 1).alias("w")).distinct()
+    """A sparse directed graph over all customers: each knows the next one, one of
+    the three after that, and every fourth one somebody far away."""
+    n = customers.agg(F.count(F.lit(1)).alias("n"))  # a single row
+    c = customers.select("c_custkey", "c_nationkey").crossJoin(F.broadcast(n))
+    to = ["(c_custkey + 1) % n", "(c_custkey + 2 + c_nationkey % 3) % n", "if(c_custkey % 4 = 0, (c_custkey * 7 + c_nationkey) % n, null)"]
+    c = c.select("c_custkey", F.explode(F.array(*map(F.expr, to))).alias("to")).where("to is not null")
+    return c.select("c_custkey", "to", (F.col("c_custkey") % 5 + F.col("to") % 3 + 1).alias("w")).distinct()
 
 
 def graph_of(spark: SparkSession, sf_dir: str, text: str | None = None) -> Graph:
@@ -63,7 +67,8 @@ def graph_of(spark: SparkSession, sf_dir: str, text: str | None = None) -> Graph
 
 
 KNOWS = """knows AS (SELECT DISTINCT c_custkey AS a, t AS b, c_custkey % 5 + t % 3 + 1 AS w FROM (
-    SELECT c_custkey, unnest([(c_custkey * 7 + c_nationkey) % 97 + 1, (c_custkey * 7 + c_nationkey) % 89 + 1]) AS t FROM customer WHERE c_custkey <= 97))"""
+    SELECT c_custkey, unnest([(c_custkey + 1) % n, (c_custkey + 2 + c_nationkey % 3) % n, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey * 7 + c_nationkey) % n END]) AS t
+    FROM customer, (SELECT count(*) AS n FROM customer)) WHERE t IS NOT NULL)"""
 
 # name: (graph query, SQL or None)
 PAIRS: dict[str, tuple[str, str | None]] = {
@@ -118,8 +123,8 @@ PAIRS: dict[str, tuple[str, str | None]] = {
         f"WITH {KNOWS} SELECT id, count(*) AS n, sum(w)::DECIMAL(38,0) AS w FROM (SELECT a AS id, w FROM knows UNION ALL SELECT b, w FROM knows) GROUP BY 1",
     ),
     "multi_rel_label": (
-        "MATCH (o:Orders)-[e:HOLDS|SUPPLIED_BY]->(x) WHERE o.o_orderkey < 500 RETURN label(e) AS rel, label(x) AS kind, count(*) AS n",
-        "SELECT rel, kind, count(*) AS n FROM (SELECT 'HOLDS' AS rel, 'Part' AS kind, l_orderkey FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', 'Supplier', l_orderkey FROM lineitem) WHERE l_orderkey < 500 GROUP BY 1, 2",
+        "MATCH (o:Orders)-[e:HOLDS|SUPPLIED_BY]->(x) RETURN label(e) AS rel, label(x) AS kind, count(*) AS n",
+        "SELECT rel, kind, count(*) AS n FROM (SELECT 'HOLDS' AS rel, 'Part' AS kind, l_orderkey FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', 'Supplier', l_orderkey FROM lineitem) GROUP BY 1, 2",
     ),
     "unwind_list": (
         "UNWIND [3, 1, 2] AS x UNWIND range(1, x) AS y RETURN x, collect(y) AS ys, sum(y) AS s",
@@ -199,40 +204,40 @@ PAIRS: dict[str, tuple[str, str | None]] = {
         "SELECT c_custkey AS k, c_name AS n, 1::BIGINT AS i, nullif(c_nationkey, 3) AS z, (c_nationkey <> 0)::SMALLINT AS ci, NULL::BIGINT AS con, greatest(c_nationkey, 5)::BIGINT AS g, c_nationkey IN (1, 2) AS inl, sha256(c_name) AS h FROM customer",
     ),
     "walk_fixed_length": (
-        "MATCH (a:Customer)-[e:KNOWS*2..3]->(b:Customer) WHERE a.c_custkey <= 20 RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len, count(*) AS n",
-        f"WITH {KNOWS} SELECT a, b, len, count(*) AS n FROM (SELECT x.a, y.b, 2::BIGINT AS len FROM knows x JOIN knows y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM knows x JOIN knows y ON x.b = y.a JOIN knows z ON y.b = z.a) WHERE a <= 20 GROUP BY 1, 2, 3",
+        "MATCH (a:Customer)-[e:KNOWS*2..3]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len, count(*) AS n",
+        f"WITH {KNOWS} SELECT a, b, len, count(*) AS n FROM (SELECT x.a, y.b, 2::BIGINT AS len FROM knows x JOIN knows y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM knows x JOIN knows y ON x.b = y.a JOIN knows z ON y.b = z.a) GROUP BY 1, 2, 3",
     ),
     "trail_paths": (
-        "MATCH (a:Customer)-[e:KNOWS*TRAIL 1..3]->(b:Customer) WHERE a.c_custkey <= 10 RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len, count(*) AS n",
-        f"WITH {KNOWS} SELECT a, b, len, count(*) AS n FROM (SELECT a, b, 1::BIGINT AS len FROM knows UNION ALL SELECT x.a, y.b, 2 FROM knows x JOIN knows y ON x.b = y.a WHERE (x.a, x.b) <> (y.a, y.b) UNION ALL SELECT x.a, z.b, 3 FROM knows x JOIN knows y ON x.b = y.a JOIN knows z ON y.b = z.a WHERE (x.a, x.b) <> (y.a, y.b) AND (y.a, y.b) <> (z.a, z.b) AND (x.a, x.b) <> (z.a, z.b)) WHERE a <= 10 GROUP BY 1, 2, 3",
+        "MATCH (a:Customer)-[e:KNOWS*TRAIL 1..3]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len, count(*) AS n",
+        f"WITH {KNOWS} SELECT a, b, len, count(*) AS n FROM (SELECT a, b, 1::BIGINT AS len FROM knows UNION ALL SELECT x.a, y.b, 2 FROM knows x JOIN knows y ON x.b = y.a WHERE (x.a, x.b) <> (y.a, y.b) UNION ALL SELECT x.a, z.b, 3 FROM knows x JOIN knows y ON x.b = y.a JOIN knows z ON y.b = z.a WHERE (x.a, x.b) <> (y.a, y.b) AND (y.a, y.b) <> (z.a, z.b) AND (x.a, x.b) <> (z.a, z.b)) GROUP BY 1, 2, 3",
     ),
     "acyclic_paths": (
-        "MATCH (a:Customer)-[e:KNOWS*ACYCLIC 3..3]->(b:Customer) WHERE a.c_custkey <= 30 RETURN a.c_custkey AS a, b.c_custkey AS b, count(*) AS n",
-        f"WITH {KNOWS} SELECT x.a AS a, z.b AS b, count(*) AS n FROM knows x JOIN knows y ON x.b = y.a JOIN knows z ON y.b = z.a WHERE x.b <> y.b AND x.a <= 30 GROUP BY 1, 2",
+        "MATCH (a:Customer)-[e:KNOWS*ACYCLIC 3..3]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, count(*) AS n",
+        f"WITH {KNOWS} SELECT x.a AS a, z.b AS b, count(*) AS n FROM knows x JOIN knows y ON x.b = y.a JOIN knows z ON y.b = z.a WHERE x.b <> y.b GROUP BY 1, 2",
     ),
     "shortest_path_length": (
-        "MATCH (a:Customer)-[e:KNOWS*SHORTEST 1..6]->(b:Customer) WHERE a.c_custkey <= 5 RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len",
-        f"WITH RECURSIVE {KNOWS}, walk(a, b, len) AS (SELECT a, b, 1::BIGINT FROM knows WHERE a <= 5 UNION SELECT walk.a, k.b, len + 1 FROM walk JOIN knows k ON walk.b = k.a WHERE len < 6) SELECT a, b, min(len) AS len FROM walk WHERE a <> b GROUP BY 1, 2",
+        "MATCH (a:Customer)-[e:KNOWS*SHORTEST 1..6]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len",
+        f"WITH RECURSIVE {KNOWS}, walk(a, b, len) AS (SELECT a, b, 1::BIGINT FROM knows UNION SELECT walk.a, k.b, len + 1 FROM walk JOIN knows k ON walk.b = k.a WHERE len < 6) SELECT a, b, min(len) AS len FROM walk WHERE a <> b GROUP BY 1, 2",
     ),
     "all_shortest_count": (
-        "MATCH (a:Customer)-[e:KNOWS*ALL SHORTEST 1..6]->(b:Customer) WHERE a.c_custkey <= 5 RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len, count(*) AS n",
-        f"WITH RECURSIVE {KNOWS}, walk(a, b, len, n) AS (SELECT a, b, 1::BIGINT, 1::BIGINT FROM knows WHERE a <= 5 UNION ALL SELECT walk.a, k.b, len + 1, sum(n)::BIGINT FROM walk JOIN knows k ON walk.b = k.a WHERE len < 6 GROUP BY 1, 2, 3), best AS (SELECT a, b, min(len) AS len FROM walk GROUP BY 1, 2) SELECT walk.a, walk.b, walk.len, sum(n)::BIGINT AS n FROM walk JOIN best USING (a, b, len) WHERE walk.a <> walk.b GROUP BY 1, 2, 3",
+        "MATCH (a:Customer)-[e:KNOWS*ALL SHORTEST 1..6]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, length(e) AS len, count(*) AS n",
+        f"WITH RECURSIVE {KNOWS}, walk(a, b, len, n) AS (SELECT a, b, 1::BIGINT, 1::BIGINT FROM knows UNION ALL SELECT walk.a, k.b, len + 1, sum(n)::BIGINT FROM walk JOIN knows k ON walk.b = k.a WHERE len < 6 GROUP BY 1, 2, 3), best AS (SELECT a, b, min(len) AS len FROM walk GROUP BY 1, 2) SELECT walk.a, walk.b, walk.len, sum(n)::BIGINT AS n FROM walk JOIN best USING (a, b, len) WHERE walk.a <> walk.b GROUP BY 1, 2, 3",
     ),
     "weighted_shortest_cost": (
-        "MATCH (a:Customer)-[e:KNOWS*WSHORTEST(w) 1..8]->(b:Customer) WHERE a.c_custkey <= 4 RETURN a.c_custkey AS a, b.c_custkey AS b, cost(e) AS cost",
-        f"WITH RECURSIVE {KNOWS}, walk(a, b, len, cost) AS (SELECT a, b, 1, w::DOUBLE FROM knows WHERE a <= 4 UNION ALL SELECT walk.a, k.b, len + 1, min(cost + k.w) FROM walk JOIN knows k ON walk.b = k.a WHERE len < 8 GROUP BY 1, 2, 3) SELECT a, b, min(cost) AS cost FROM walk WHERE a <> b GROUP BY 1, 2",
+        "MATCH (a:Customer)-[e:KNOWS*WSHORTEST(w) 1..8]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, cost(e) AS cost",
+        f"WITH RECURSIVE {KNOWS}, walk(a, b, len, cost) AS (SELECT a, b, 1, w::DOUBLE FROM knows UNION ALL SELECT walk.a, k.b, len + 1, min(cost + k.w) FROM walk JOIN knows k ON walk.b = k.a WHERE len < 8 GROUP BY 1, 2, 3) SELECT a, b, min(cost) AS cost FROM walk WHERE a <> b GROUP BY 1, 2",
     ),
     "recursive_filter": (
         "MATCH (a:Customer)-[e:KNOWS*1..2 (r, n | WHERE r.w > 3 AND n.c_acctbal > 0)]->(b:Customer) RETURN length(e) AS len, count(*) AS n",
         f"WITH {KNOWS}, big AS (SELECT * FROM knows WHERE w > 3) SELECT len, count(*) AS n FROM (SELECT 1::BIGINT AS len FROM big UNION ALL SELECT 2 FROM big x JOIN customer ON c_custkey = x.b AND c_acctbal > 0 JOIN big y ON x.b = y.a) GROUP BY 1",
     ),
     "path_nodes": (
-        "MATCH p = (c:Customer)-[:FROM_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.c_custkey < 40 RETURN c.c_custkey AS id, length(p) AS len, size(nodes(p)) AS k, list_to_string('>', list_transform(nodes(p), x -> x._LABEL)) AS labels",
-        "SELECT c_custkey AS id, 2::BIGINT AS len, 3::BIGINT AS k, 'Customer>Nation>Region' AS labels FROM customer WHERE c_custkey < 40",
+        "MATCH p = (c:Customer)-[:FROM_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN c.c_custkey AS id, length(p) AS len, size(nodes(p)) AS k, list_to_string('>', list_transform(nodes(p), x -> x._LABEL)) AS labels",
+        "SELECT c_custkey AS id, 2::BIGINT AS len, 3::BIGINT AS k, 'Customer>Nation>Region' AS labels FROM customer",
     ),
     "reachable_count": (
         "MATCH (a:Customer {c_custkey: 1})-[:KNOWS*SHORTEST 1..30]->(b:Customer) RETURN count(DISTINCT b) AS n",
-        f"WITH RECURSIVE {KNOWS}, reach(b) AS (SELECT b FROM knows WHERE a = 1 UNION SELECT k.b FROM reach JOIN knows k ON reach.b = k.a) SELECT count(*) AS n FROM reach WHERE b <> 1",
+        f"WITH RECURSIVE {KNOWS}, reach(b, len) AS (SELECT b, 1 FROM knows WHERE a = 1 UNION SELECT k.b, len + 1 FROM reach JOIN knows k ON reach.b = k.a WHERE len < 30) SELECT count(DISTINCT b) AS n FROM reach WHERE b <> 1",
     ),
     "primary_key_lookup": ("MATCH (o:Orders {o_orderkey: 7})<-[:PLACED]-(c:Customer) RETURN c.c_name AS name, o.o_totalprice AS price", "SELECT c_name AS name, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = 7"),
     "generic_join": (
