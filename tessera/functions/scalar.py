@@ -189,7 +189,7 @@ simple(lambda s: F.concat(F.upper(F.left(s, L(1))), F.lower(s.substr(L(2), F.len
 simple(lambda s, n: F.left(s, F.when(n >= 0, n).otherwise(F.greatest(F.length(s) + n, L(0))).cast("int")), "LEFT")
 simple(lambda s, n: F.right(s, F.when(n >= 0, n).otherwise(F.greatest(F.length(s) + n, L(0))).cast("int")), "RIGHT")
 simple(lambda s, a, n: F.when(a >= 1, s.substr(a.cast("int"), n.cast("int"))).otherwise(F.when(s.isNotNull(), L(""))), "SUBSTR", "SUBSTRING")
-simple(lambda s, sep: F.split(s, F.concat(L("\\Q"), sep, L("\\E"))), "STRING_SPLIT", "STR_SPLIT", "STRING_TO_ARRAY")
+simple(lambda s, sep: F.split(s, F.concat(L("\\Q"), F.replace(sep, L("\\E"), L("\\E\\\\E\\Q")), L("\\E"))), "STRING_SPLIT", "STR_SPLIT", "STRING_TO_ARRAY")
 simple(lambda s, d, i: F.when(i >= 1, F.split_part(s, d, F.greatest(i, L(1)).cast("int"))).otherwise(F.when(s.isNotNull(), L(""))), "SPLIT_PART")
 simple(lambda sep, *a: _ws(sep, a), "CONCAT_WS")
 
@@ -232,17 +232,15 @@ REGISTRY["REGEXP_SPLIT_TO_ARRAY"] = lambda s, a, p: F.split(a.c, _pattern(p))
 def regexp_replace(s, a, p, r, option=None):
     import re
 
-    new = L(re.sub(r"\\(\d)", r"$\1", r.ast[1])) if r.ast[0] == "lit" else r.c
     if option is not None:
         if option.ast != ("lit", "g"):
             raise ValueError("regexp_replace knows the option g only")
-        return F.regexp_replace(a.c, _pattern(p), new)
-    # The first match alone: it is replaced by itself in what comes up to its end.
-    first = F.regexp_extract_all(a.c, F.concat(L("("), _pattern(p), L(")")), L(1))[0]
-    at = F.call_function("locate", first, a.c)
-    head = a.c.substr(L(1), at - 1)
-    tail = a.c.substr((at + F.length(first)).cast("int"), F.length(a.c))
-    return F.when(first.isNull(), a.c).otherwise(F.concat(head, F.regexp_replace(first, _pattern(p), new), tail))
+        return F.regexp_replace(a.c, _pattern(p), L(re.sub(r"\\(\d)", r"$\1", r.ast[1])) if r.ast[0] == "lit" else r.c)
+    # The first match alone: what comes before it is a group of its own, the first.
+    up = lambda m: str(int(m.group(1)) + 1)
+    new = L(re.sub(r"\\(\d)", lambda m: "$" + up(m), r.ast[1])) if r.ast[0] == "lit" else r.c
+    pattern = L(re.sub(r"(?<!\\)((?:\\\\)*)\\([1-9])", lambda m: f"{m[1]}\\{int(m[2]) + 1}", p.ast[1].replace("\\\\", "\\"))) if p.ast[0] == "lit" and isinstance(p.ast[1], str) else p.c
+    return F.regexp_replace(a.c, F.concat(L("\\A((?s:.*?))(?:"), pattern, L(")")), F.concat(L("$1"), new))
 
 
 # -------------------------------------------------------- lists and vectors
@@ -490,7 +488,7 @@ simple(F.nullif, "NULLIF")
 REGISTRY["TYPEOF"] = lambda s, a: L(type_name(a.t))
 simple(lambda a, b: F.struct(a.cast("int").alias("table"), b.cast("long").alias("offset")), "INTERNAL_ID")
 REGISTRY["CURRVAL"] = lambda s, a: L(s.graph.catalog.sequence(a.ast[1]).current()).cast("long")
-REGISTRY["NEXTVAL"] = lambda s, a: L(s.graph.catalog.sequence(a.ast[1]).advance()).cast("long")
+REGISTRY["NEXTVAL"] = lambda s, a: L(s.graph.catalog.sequence(a.ast[1]).advance()).cast("long")  # of one row; project.number_rows serves many
 simple(lambda a, b: a == b, "EQUALS")
 simple(lambda a, b: a != b, "NOT_EQUALS")
 simple(lambda a, b: a > b, "GREATER_THAN")

@@ -102,6 +102,17 @@ def first_of_each_key(rows: DataFrame, pk: str, known: DataFrame) -> tuple[DataF
     return good, [("Found NULL, which violates the non-null constraint of the primary key column.", at.where(key.isNull()).drop("_at")), (duplicate, twice)]
 
 
+def sequenced(scope: Scope, item: dict) -> tuple[Scope, dict]:
+    """A pattern element whose nextval calls are columns of the rows."""
+    from .project import number_rows
+
+    props = []
+    for k, e in item["props"]:
+        scope, e = number_rows(scope, e)
+        props.append((k, e))
+    return scope, {**item, "props": props}
+
+
 def create(scope: Scope, clause: dict) -> Scope:
     """One new node or relationship per input row and pattern element."""
     graph = scope.graph
@@ -119,6 +130,7 @@ def create(scope: Scope, clause: dict) -> Scope:
             if len(item["labels"]) != 1:
                 raise QueryError(f"Create node {name} expects a single node label.")
             t = graph.catalog.node(item["labels"][0])
+            keyed, item = sequenced(keyed, item)
             b = Binder(keyed)
             types = {f.name.lower(): f for f in t.df.schema.fields}
             given = {}
@@ -146,6 +158,7 @@ def create(scope: Scope, clause: dict) -> Scope:
             if len(item["labels"]) != 1:
                 raise QueryError("Create rel expects a single rel label.")
             t = graph.catalog.rel(item["labels"][0])
+            keyed, item = sequenced(keyed, item)
             b = Binder(keyed)
             sample = next(iter(t.parts.values())).schema
             given = {next(f.name for f in sample.fields if f.name.lower() == k.lower()): b.expr(e) for k, e in item["props"]}
@@ -160,9 +173,9 @@ def create(scope: Scope, clause: dict) -> Scope:
 
 
 def assign(scope: Scope, items: list) -> Scope:
-    """SET: one new value per node or relationship; the last row wins no particular race."""
+    """SET: one new value per node or relationship, that of the last of its rows."""
     graph = scope.graph
-    df = materialize(scope.df)
+    df = materialize(scope.df.withColumn("_at", F.monotonically_increasing_id()))
     scope = scope.at(df)
     for target, e in items:
         if target[0] != "prop" or target[1][0] != "var":
@@ -177,7 +190,7 @@ def assign(scope: Scope, items: list) -> Scope:
                 if prop is None:
                     continue
                 kind = t.df.schema[prop].dataType
-                new = scope.df.where(F.col(f"{v.name}___label") == label).select(F.col(f"{v.name}___id").cast(t.df.schema[t.pk].dataType).alias("_k"), value.cast(kind).alias("_v")).groupBy("_k").agg(F.last("_v").alias("_v"), F.lit(True).alias("_hit"))
+                new = scope.df.where(F.col(f"{v.name}___label") == label).select(F.col(f"{v.name}___id").cast(t.df.schema[t.pk].dataType).alias("_k"), value.cast(kind).alias("_v"), "_at").groupBy("_k").agg(F.max_by("_v", "_at").alias("_v"), F.lit(True).alias("_hit"))
                 old = t.df.join(new, t.df[f"`{t.pk}`"] == new["_k"], "left")
                 t.df = materialize(old.select(*[(F.when(F.col("_hit"), F.col("_v")).otherwise(F.col(f"`{p}`")) if p == prop else F.col(f"`{p}`")).alias(p) for p in t.props]))
         else:
@@ -188,14 +201,14 @@ def assign(scope: Scope, items: list) -> Scope:
                     continue
                 for pair, old in list(t.parts.items()):
                     kind = old.schema[prop].dataType
-                    new = scope.df.where(F.col(f"{v.name}___label") == label).select(F.col(f"{v.name}___rid").alias("_k"), value.cast(kind).alias("_v")).groupBy("_k").agg(F.last("_v").alias("_v"), F.lit(True).alias("_hit"))
+                    new = scope.df.where(F.col(f"{v.name}___label") == label).select(F.col(f"{v.name}___rid").alias("_k"), value.cast(kind).alias("_v"), "_at").groupBy("_k").agg(F.max_by("_v", "_at").alias("_v"), F.lit(True).alias("_hit"))
                     joined = old.join(new, old["_rid"] == new["_k"], "left")
                     t.parts[pair] = materialize(joined.select(*[(F.when(F.col("_hit"), F.col("_v")).otherwise(F.col(f"`{p}`")) if p == prop else F.col(f"`{p}`")).alias(p) for p in old.columns]))
         column = next((c for c in df.columns if c.lower() == f"{v.name}__{target[2]}".lower()), None)
         if column:
             scope = scope.at(materialize(scope.df.withColumn(column, value.cast(df.schema[column].dataType))))
     graph.catalog.version += 1
-    return scope
+    return scope.at(scope.df.drop("_at"))
 
 
 def delete(scope: Scope, clause: dict) -> Scope:

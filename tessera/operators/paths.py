@@ -5,8 +5,8 @@ current node, cost, hops), extended by one join a level. Only keys travel; the
 hops of a path are remembered, as keys, only where the query reads them or where
 nodes or relationships must not repeat, and the nodes' and relationships' values
 are joined in once at the end. Searches that must visit nodes once, and
-unbounded ones, write every second level to the shared folder, which keeps plans
-short and lets a lost executor redo two levels only.
+unbounded ones, write each level to the shared folder, which keeps plans short
+and lets a lost executor redo one level only.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from ..plans.binder import Binder, Node, Rel, Scope, Walk, walk
 from ..plans.materialize import materialize, materialize_counted
 from ..plans.parser import QueryError
 
-LEVELS = 2  # levels between two writes
-
 
 def extend(m, e: dict) -> None:
     spec, name = e["item"]["walk"], e["name"]
@@ -122,7 +120,7 @@ class Search:
             for a, b in ([("src", "dst")] if way in ("out", "both") else []) + ([("dst", "src")] if way in ("back", "both") else []):
                 named = [] if self.only else [F.col(f"r___{a}label").alias("al"), F.col(f"r___{b}label").alias("bl")]
                 frames.append(scope.df.select(F.col(f"r___{a}").cast(self.type).alias("a"), F.col(f"r___{b}").cast(self.type).alias("b"), *named, *cols))
-        edges = reduce(lambda x, y: x.unionByName(y), frames)
+        edges = union(frames)
         if self.weighted:
             edges = edges.withColumn("w", F.when(F.col("w") < 0, F.raise_error(F.lit("Found negative weight."))).otherwise(F.col("w"))).where("w is not null")
         return materialize(edges) if self.spec["high"] is None or self.high > 3 or self.shortest else edges
@@ -185,70 +183,65 @@ class Search:
             cols.append((F.col("cost") + F.col("w")).alias("cost"))
         return j.select(*cols)
 
-    def one_each(self, rows: DataFrame, first: str) -> DataFrame:
-        """One row of each pair of ends: the smallest by ``first``, then by its path."""
+    def cheapest(self, rows: DataFrame) -> DataFrame:
+        """One row of each pair of ends: the cheapest, then shortest, then smallest path."""
         rest = [c for c in rows.columns if c not in self.key]
-        order = [first, *[c for c in rest if c != first]]
+        if not self.tracked:  # of one level, or of levels that never cost the same
+            return rows.groupBy(*self.key).agg(F.min_by("len", "cost").alias("len"), F.min("cost").alias("cost")) if self.weighted else rows.dropDuplicates(self.key)
+        order = [*[c for c in ("cost",) if c in rest], *[c for c in rest if c != "cost"]]
         return rows.groupBy(*self.key).agg(F.min(F.struct(*order)).alias("x")).select(*self.key, *[F.col(f"x.{c}").alias(c) for c in rest])
 
+    def unseen(self, new: DataFrame, waves: list[DataFrame], level: int) -> DataFrame:
+        """Rows of the next level that improve on all earlier ones."""
+        seen = union([x.select(*self.key, *(["cost"] if self.weighted else [])) for x in waves])
+        if not self.tracked and not self.kind.startswith("ALL"):
+            # One aggregation over old and new rows together: no join, no sort.
+            if not self.weighted:
+                both = seen.select(*self.key, F.lit(0).alias("f")).unionByName(new.select(*self.key, F.lit(1).alias("f")))
+                return both.groupBy(*self.key).agg(F.min("f").alias("f")).where("f = 1").select(*self.key, F.lit(level).alias("len"))
+            none = F.lit(None).cast("double")
+            both = seen.select(*self.key, F.col("cost").alias("old"), none.alias("cost")).unionByName(new.select(*self.key, none.alias("old"), "cost"))
+            both = both.groupBy(*self.key).agg(F.min("old").alias("old"), F.min("cost").alias("cost")).where("cost is not null and (old is null or cost < old)")
+            return both.select(*self.key, F.lit(level).alias("len"), "cost")
+        if not self.weighted:
+            new = new.join(seen.distinct(), self.key, "left_anti")
+            return self.cheapest(new) if self.kind == "SHORTEST" else new
+        best = seen.groupBy(*self.key).agg(F.min("cost").alias("old"))
+        if self.kind == "WSHORTEST":
+            return self.cheapest(new).join(best, self.key, "left").where("old is null or cost < old").drop("old")
+        least = new.groupBy(*self.key).agg(F.min("cost").alias("least"))
+        new = new.join(least, self.key).where("cost = least").drop("least")
+        return new.join(best, self.key, "left").where("old is null or cost <= old").drop("old")
+
     def levels(self, start: DataFrame) -> DataFrame:
         looped = self.shortest or self.spec["high"] is None or self.high > 3
-        out = [start] if self.low == 0 else []
-        front, visited, level = start, start.select(*self.key), 0
-        while level < self.high:
-            wave = []
-            for _ in range(min(LEVELS if looped else self.high, self.high - level)):
-                front = self.step(front)
-                if self.shortest:
-                    front = front.join(visited, self.key, "left_anti").select(*start.columns)
-                    if self.kind == "SHORTEST":
-                        front = self.one_each(front, "len")
-                    visited = visited.unionByName(front.select(*self.key).distinct())
-                wave.append(front)
-            level += len(wave)
-            if not looped:
-                out += [x for i, x in enumerate(wave) if level - len(wave) + i + 1 >= self.low]
-                continue
-            kept, n = materialize_counted(reduce(lambda a, b: a.unionByName(b), wave))
-            if not n:
-                break
-            out.append(kept.where(F.col("len") >= self.low) if level - len(wave) + 1 < self.low else kept)
-            front = kept.where(F.col("len") == level)
+        out, front, waves = [start] if self.low == 0 else [], start, [start]
+        for level in range(1, self.high + 1):
+            front = self.step(front)
             if self.shortest:
-                visited = reduce(lambda a, b: a.unionByName(b), [start.select(*self.key), *[x.select(*self.key).distinct() for x in out]])
-        return reduce(lambda a, b: a.unionByName(b), out) if out else start.limit(0)
+                front = self.unseen(front, waves, level).select(*start.columns)
+            if looped:
+                front, n = materialize_counted(front)
+                if not n:
+                    break
+            waves.append(front)
+            if level >= self.low:
+                out.append(front)
+        return union(out) if out else start.limit(0)
 
     def weighted_paths(self, start: DataFrame) -> DataFrame:
         """Rounds of relaxation. A row is kept where it is cheaper than (ALL: as
         cheap as) every earlier row of its ends; the cheapest of all rounds remain."""
         waves = [materialize(start)]
-        front, level = waves[0], 0
-        every = self.kind.startswith("ALL")
-        while level < self.high:
-            best = reduce(lambda a, b: a.unionByName(b), waves).groupBy(*self.key).agg(F.min("cost").alias("old"))
-            wave = []
-            for _ in range(min(LEVELS, self.high - level)):
-                new = self.step(front)
-                if every:
-                    least = new.groupBy(*self.key).agg(F.min("cost").alias("least"))
-                    new = new.join(least, self.key).where("cost = least").drop("least")
-                else:
-                    new = self.one_each(new, "cost")
-                new = new.join(best, self.key, "left").where(F.col("old").isNull() | ((F.col("cost") <= F.col("old")) if every else (F.col("cost") < F.col("old"))))
-                front = new.select(*start.columns)
-                best = best.unionByName(front.groupBy(*self.key).agg(F.min("cost").alias("old"))).groupBy(*self.key).agg(F.min("old").alias("old"))
-                wave.append(front)
-                level += 1
-            kept, n = materialize_counted(reduce(lambda a, b: a.unionByName(b), wave))
+        for level in range(1, self.high + 1):
+            kept, n = materialize_counted(self.unseen(self.step(waves[-1]), waves, level).select(*start.columns))
             if not n:
                 break
             waves.append(kept)
-            front = kept.where(F.col("len") == level)
-        rows = reduce(lambda a, b: a.unionByName(b), waves)
-        apart = F.col("s") != F.col("v")
+        rows, apart = union(waves), F.col("s") != F.col("v")
         rows = rows.where(apart if self.only else apart | (F.col("sl") != F.col("vl"))).where("len > 0")
-        if not every:
-            return self.one_each(rows, "cost")
+        if self.kind == "WSHORTEST":
+            return self.cheapest(rows)
         best = rows.groupBy(*self.key).agg(F.min("cost").alias("old"))
         return rows.join(best, self.key).where("cost = old").drop("old")
 
@@ -261,7 +254,7 @@ class Search:
         self.node_props = projected(spec["node_proj"], v.props)
         struct = Binder(Scope(m.graph, frame, {"n": v}, {}, {})).node_struct(Node("n", self.labels, self.node_props, v.pk))
         nodes = frame.select(F.col("n___id").cast(self.type).alias("b"), *([] if self.only else [F.col("n___label").alias("bl")]), struct.alias("node"))
-        rels = reduce(lambda x, y: x.unionByName(y), [scope.df.select(F.struct(F.lit(number).alias("p"), F.col("r___rid").alias("n")).alias("rid"), Binder(scope).rel_struct(r).alias("rel")) for number, scope, r in self.scopes]).dropDuplicates(["rid"])
+        rels = union([scope.df.select(F.struct(F.lit(number).alias("p"), F.col("r___rid").alias("n")).alias("rid"), Binder(scope).rel_struct(r).alias("rel")) for number, scope, r in self.scopes]).dropDuplicates(["rid"])
 
         found = materialize(found.withColumn("pid", F.monotonically_increasing_id()))
         hops = found.select("pid", F.posexplode("path").alias("i", "hop")).select("pid", "i", "hop.*")
@@ -276,6 +269,10 @@ class Search:
         return out
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def by_place(a: Column, b: Column) -> Column:
     return (a["i"] - b["i"]).cast("int")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.binder import AGGREGATES, Binder, Node, Path, Rel, Scope, Value, Walk, replace, walk
+from ..plans.materialize import materialize
 from ..plans.parser import QueryError
 from .match import where, with_subqueries
 
@@ -38,6 +39,25 @@ def literal(scope: Scope, ast, what: str) -> int:
     return v
 
 
+def number_rows(scope: Scope, ast) -> tuple[Scope, tuple]:
+    """Each nextval call of an expression as a column with a value for every row."""
+    from .dml import row_numbers
+
+    for call in [x for x in walk(ast) if x[0] == "call" and x[1] == "NEXTVAL" and x[2] and x[2][0][0] == "lit"]:
+        seq, temp = scope.graph.catalog.sequence(call[2][0][1]), f"_seq{len(scope.df.columns)}"
+        df = materialize(row_numbers(scope.df, temp, -1))
+        n = df.count()
+        if n == 1:
+            value = F.lit(seq.advance()).cast("long")
+        else:
+            place, size = seq.reserve(n)
+            origin = seq.low if seq.by > 0 else seq.high
+            value = ((F.col(temp) + F.lit(place).cast("long")).cast("decimal(38,0)") % F.lit(size).cast("decimal(38,0)") * seq.by + F.lit(origin).cast("decimal(38,0)")).cast("long")
+        scope = scope.at(df.withColumn(temp, value))
+        ast = replace(ast, lambda x, call=call, temp=temp: ("col", temp) if x is call else None)
+    return scope, ast
+
+
 def project(scope: Scope, clause: dict) -> Scope:
     """WITH and RETURN. Variables stay variables when projected by themselves."""
     items = list(clause["items"])
@@ -56,6 +76,7 @@ def project(scope: Scope, clause: dict) -> Scope:
             if any(aggregates_in(x) for x in a[2]):
                 raise QueryError("Nested aggregation is not supported.")
         wide, new = with_subqueries(scope, ast)
+        wide, new = number_rows(wide, new)
         if new is not ast:
             scope, items[i] = wide, (new, name)
 

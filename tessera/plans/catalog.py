@@ -67,13 +67,19 @@ class Sequence:
         return self.value
 
     def advance(self) -> int:
-        nxt = self.start if self.value is None else self.value + self.by
-        if nxt > self.high or nxt < self.low:
-            if not self.cycle:
-                raise QueryError(f"nextval: reached limit of sequence {self.name}")
-            nxt = self.low if self.by > 0 else self.high
-        self.value = nxt
-        return nxt
+        return self.reserve(1)[0]
+
+    def reserve(self, n: int) -> tuple[int, int]:
+        """(place of the first, size of the cycle) of the next ``n`` values, counted
+        in steps from the end of the range where a cycle starts again."""
+        origin = self.low if self.by > 0 else self.high
+        size = (self.high - self.low) // abs(self.by) + 1
+        place = ((self.start if self.value is None else self.value + self.by) - origin) // self.by
+        if not self.cycle and (place < 0 or place + n > size):
+            raise QueryError(f"nextval: reached limit of sequence {self.name}")
+        if n:
+            self.value = origin + (place + n - 1) % size * self.by
+        return (origin + place % size * self.by, size) if n == 1 else (place % size, size)
 
 
 class Catalog:

@@ -27,6 +27,11 @@ SETTINGS = {
 }
 
 
+def as_tuples(x):
+    """An expression read from JSON."""
+    return tuple(as_tuples(y) for y in x) if isinstance(x, list) else x
+
+
 class Prepared:
     """A parsed text whose parameters are bound at each execution."""
 
@@ -456,7 +461,15 @@ class Graph:
             for a, b in r.parts:
                 r.parts[a, b].drop("_rid").select("_src", "_dst", *[f"`{p}`" for p in r.props]).write.mode("overwrite").parquet(f"{s['path']}/{r.name}_{a}_{b}.parquet")
                 copies.append({"table": r.name, "from": a, "to": b, "path": f"{r.name}_{a}_{b}.parquet"})
-        lines = [("schema", x) for x in script] + [("copy", json.dumps(x)) for x in copies]
+        for t in (*c.nodes.values(), *c.rels.values()):
+            copies += [{"default": k, "of": t.name, "ast": ast} for k, ast in t.defaults.items()]
+            copies += [{"comment": t.comment, "of": t.name}] if t.comment else []
+        for x in c.sequences.values():
+            copies.append({"sequence": {"name": x.name, "start": x.start, "by": x.by, "low": x.low, "high": x.high, "cycle": x.cycle, "value": x.value}})
+        named = [("schema", f"CREATE TYPE `{n}` AS {of};") for n, of in c.types.items()]
+        named += [("schema", f"CREATE MACRO `{n}`({', '.join(a if d is None else f'{a} := {json.dumps(d[1])}' for a, d in args)}) AS {text};") for n, (args, _, text) in c.macros.items()]
+        copies += [{"index": n, "as": x} for n, x in c.indexes.items()]
+        lines = named + [("schema", x) for x in script] + [("copy", json.dumps(x)) for x in copies]
         self.spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(lines)], "i int, kind string, line string").coalesce(1).write.mode("overwrite").json(f"{s['path']}/statements")
         return self.message("Exported database successfully.")
 
@@ -466,6 +479,9 @@ class Graph:
                 self.query(r["line"])
             else:
                 x = json.loads(r["line"])
+                if "path" not in x:
+                    self.restore(x)
+                    continue
                 df = self.spark.read.parquet(f"{s['path']}/{x['path']}")
                 if "from" in x:
                     dml.insert_rels(self, x["table"], (x["from"], x["to"]), df)
@@ -473,15 +489,54 @@ class Graph:
                     dml.insert_nodes(self, x["table"], df)
         return self.message("Imported database successfully.")
 
+    def restore(self, x: dict) -> None:
+        """A default, comment, sequence or index of an exported database."""
+        c = self.catalog
+        if "sequence" in x:
+            c.sequences[x["sequence"]["name"]] = Sequence(**x["sequence"])
+        elif "index" in x:
+            c.indexes[x["index"]] = x["as"]
+        else:
+            t = c._find(c.nodes, x["of"]) or c.rel(x["of"])
+            if "comment" in x:
+                t.comment = x["comment"]
+            else:
+                t.defaults[x["default"]] = as_tuples(x["ast"])
+
     # ------------------------------------------------------------- session
     def _do_attach(self, s: dict, params: dict) -> DataFrame:
-        kind = str(self.constant(s["options"].get("DBTYPE", ("lit", "parquet")), params))
+        """Open an exported database, or a folder of Parquet files, as a graph of its own."""
+        kind = str(self.constant(s["options"].get("DBTYPE", ("lit", "parquet")), params)).lower()
+        if s["name"] in self.graphs:
+            raise QueryError(f"Duplicate attached database name: {s['name']}. Attached database name must be unique.")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(s["path"])
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            raise QueryError(f"Cannot open database {s['path']}: it does not exist.")
+        before, self.graphs[s["name"]], self.current = self.current, Catalog(), s["name"]
+        try:
+            if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{s['path']}/statements")):
+                self._do_import({"path": s["path"]}, params)
+            else:
+                for found in fs.listStatus(path):
+                    name = found.getPath().getName()
+                    if name.endswith(".parquet"):
+                        df = self.spark.read.parquet(found.getPath().toString())
+                        self.add_nodes(name[: -len(".parquet")], df, df.columns[0])
+        except Exception:
+            del self.graphs[s["name"]]
+            raise
+        finally:
+            self.current = before
         self.attached[s["name"]] = (kind, s["path"])
         return self.message("Attached database successfully.")
 
     def _do_detach(self, s: dict, params: dict) -> DataFrame:
         if self.attached.pop(s["name"], None) is None:
             raise QueryError(f"Database: {s['name']} doesn't exist.")
+        del self.graphs[s["name"]]
+        if self.current == s["name"]:
+            self.current = "main"
         return self.message("Detached database successfully.")
 
     def _do_extension(self, s: dict, params: dict) -> DataFrame:
