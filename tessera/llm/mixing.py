@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NONE = "\x00none"  # stands for a null source
 
@@ -57,7 +58,10 @@ def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block: int = 8, period: int = 1000, columns: tuple[str, ...] = ("doc_id",), bucket_rows: int = 50_000) -> DataFrame:
+MAX_SOURCES = 100_000
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block: int = 8, period: int | None = None, columns: tuple[str, ...] = ("doc_id",), group_rows: int = 50_000) -> DataFrame:
     """Every row with its place in the mixture.
 
     Returns ``columns``, mix_source, mix_block,
@@ -68,36 +72,55 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
     Without ``weights`` a source of n rows weighs n ** temperature. A null source
     is a source of its own. Rows of a source are taken in the order of a hash of
-    doc_id, ties as they come. Sources with no positive weight get no slot and
-    in_mix false. Ranks are counted in buckets of about ``bucket_rows`` rows, so
-    a source with most of the rows is spread over many tasks. What the driver
-    holds is one count a source and one period of slots.
+    doc_id, then of a 64-bit hash of ``columns``; rows equal in all of these are
+    alike in the result too. A null or repeated doc_id is no exception, an empty table gives an empty result, other columns are
+    ignored. Sources with no positive weight get no slot and in_mix false.
+
+    ``period`` is the number of slots after which the schedule repeats: without it
+    1,000, or ten times the number of sources, rounded up to a power of ten, if
+    that is more. Ranks are counted in groups of at most about ``group_rows`` rows
+    of one source, a thousandth of all rows where that is less, so a source with
+    most of the rows is spread over many tasks. The driver holds one count a
+    source and one period of slots; more than MAX_SOURCES sources raise an error.
     """
     spark = docs.sparkSession
     src = F.coalesce(docs["source"].cast("string"), F.lit(NONE))
-    rows = docs.select(*[docs[c].alias(c) for c in columns], src.alias("mix_source"), F.xxhash64(docs["doc_id"]).alias("_h"))
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(src.alias("s")).agg(F.count("*").alias("n")).collect()}
+    found = docs.groupBy(src.alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: give them coarser names first")
+    sizes = {r["s"]: r["n"] for r in found}
     weights = {k: n**temperature for k, n in sizes.items()} if weights is None else {NONE if k is None else k: w for k, w in weights.items()}
     live = {k: w for k, w in weights.items() if k in sizes and w > 0}
-    period = max(period, 10 ** math.ceil(math.log10(10 * max(1, len(live)))))
+    if period is None:
+        period = max(1000, 10 ** math.ceil(math.log10(10 * max(1, len(live)))))
     slots = quanta(live, period) if live else {}
     plan = schedule(slots) if live else {}
     # The slot at which a source first lacks a whole block.
     ends = [(sizes[k] // block // n) * period + plan[k][sizes[k] // block % n] for k, n in slots.items()]
     horizon = min(ends, default=0)
 
-    buckets = max(16, -(-sum(sizes.values()) // bucket_rows))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(F.col("_h")), F.lit(buckets)))
-    counts = docs.select(src.alias("mix_source"), F.pmod(F.xxhash64(F.xxhash64(docs["doc_id"])), F.lit(buckets)).alias("_b")).groupBy("mix_source", "_b").agg(F.count("*").alias("_n"))
+    most = max(1, min(group_rows, -(-sum(sizes.values()) // 1000)))
+    # One row a source, MAX_SOURCES at most, and one a slot of the period.
+    each = spark.createDataFrame([(k, slots.get(k), -(-n // most)) for k, n in sizes.items()] or [(NONE, 0, 1)], "mix_source string, _k int, _groups long")
+    table = spark.createDataFrame([(k, j, t) for k, ts in plan.items() for j, t in enumerate(ts)] or [(NONE, -1, 0)], "mix_source string, _j int, _t int")
+
+    # Texts and the like stay out of the groups' hash: counting reads no long column.
+    short = [c for c in columns if isinstance(docs.schema[c].dataType, (T.NumericType, T.BooleanType))]
+
+    def grouped(*names: str) -> DataFrame:
+        """Rows with their source's figures, their hash and group."""
+        slim = docs.select(*[docs[c].alias(c) for c in names], src.alias("mix_source"), F.xxhash64(docs["doc_id"]).alias("_h"), F.xxhash64(docs["doc_id"], *[docs[c] for c in short]).alias("_g"))
+        slim = slim.join(F.broadcast(each), "mix_source", "left")
+        return slim.withColumn("_b", F.pmod(F.xxhash64("_g"), F.col("_groups"))).drop("_g", "_groups")
+
+    counts = grouped().groupBy("mix_source", "_b").agg(F.count("*").alias("_n"))
     before = counts.select("mix_source", "_b", (F.sum("_n").over(Window.partitionBy("mix_source").orderBy("_b")) - F.col("_n")).alias("_base"))
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("mix_source", "_b").orderBy("_h")))
+    order = Window.partitionBy("mix_source", "_b").orderBy("_h", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    rows = grouped(*columns).withColumn("_i", F.row_number().over(order))
     rows = rows.join(before, ["mix_source", "_b"]).withColumn("_rank", F.col("_base") + F.col("_i") - 1)
-    table = spark.createDataFrame([(k, j, t, len(ts)) for k, ts in plan.items() for j, t in enumerate(ts)] or [(NONE, -1, 0, 1)], "mix_source string, _j int, _t int, _k int")
-    each = spark.createDataFrame([(k, n) for k, n in slots.items()] or [(NONE, 0)], "mix_source string, _k int")
-    # Both tables have at most ``period`` rows.
-    rows = rows.join(F.broadcast(each), "mix_source", "left").withColumn("mix_block", F.expr(f"_rank div {block}"))
+    rows = rows.withColumn("mix_block", F.expr(f"_rank div {block}"))
     rows = rows.withColumn("_j", F.when(F.col("_k") > 0, (F.col("mix_block") % F.col("_k")).cast("int")))
-    rows = rows.join(F.broadcast(table.drop("_k")), ["mix_source", "_j"], "left")
+    rows = rows.join(F.broadcast(table), ["mix_source", "_j"], "left")
     return rows.select(
         *columns,
         F.when(F.col("mix_source") != NONE, F.col("mix_source")).alias("mix_source"),
