@@ -78,33 +78,37 @@ def of_size(c: Column, bits: int) -> Column:
     return F.least(F.floor(F.log2(n + 1)), F.lit((1 << bits) - 1)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 40, bits: int = 4, keep: tuple[str, ...] = ("doc_id",), bucket_rows: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, bits: int = 4, keep: tuple[str, ...] = ("doc_id",), group_rows: int = 50_000) -> DataFrame:
     """``keep`` columns, size, text_crc32, curve, shard and slot of every row.
 
     The law is `rows`: shards are equal runs of the curve order over lang, source
     and length, so their row counts differ by one at most, however rows are
     distributed; a cell with most of the rows is cut like any other. Rows of one
-    cell are ordered by a hash bucket of doc_id, then doc_id, then size and
-    crc32. Null text counts as no bytes; null or repeated doc_ids are rows like
-    others. Counts come from the metadata columns alone; each row is shuffled
-    once, in groups of one cell and one bucket of about ``bucket_rows`` rows.
+    cell are ordered by a hash group of doc_id and n_chars, then by doc_id, size
+    and crc32; rows equal in these are alike in the result too. Null text
+    counts as no bytes; null or repeated doc_ids are rows like others; an empty
+    table gives an empty result and other columns are ignored. Each row is
+    shuffled once, in groups of one cell and at most about ``group_rows`` rows, a
+    thousandth of all rows where that is less; counting reads no texts.
     """
     body = utf8(docs["text"])
     curve = hilbert([of_text(docs["lang"], bits), of_size(docs["n_chars"], bits), of_text(docs["source"], bits)], bits)
     total = docs.count()
-    buckets = max(8, -(-total // bucket_rows))
-    bucket = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(buckets)).cast("int")
-
-    # One count per cell and bucket; cells are 2^(3 bits) at most.
-    counts = docs.select(curve.alias("_c"), bucket.alias("_b")).groupBy("_c", "_b").agg(F.count("*").alias("_n"))
-    cells = counts.groupBy("_c").agg(F.sum("_n").alias("_n"))
-    cells = cells.select("_c", (F.sum("_n").over(Window.orderBy("_c")) - F.col("_n")).alias("_cell"))
-    base = counts.select("_c", "_b", (F.sum("_n").over(Window.partitionBy("_c").orderBy("_b")) - F.col("_n")).alias("_base"))
-    base = base.join(cells, "_c").select("_c", "_b", (F.col("_base") + F.col("_cell")).alias("_base"))
-
-    rows = docs.select(*[docs[c].alias(c) for c in keep], docs["doc_id"].alias("_id"), (F.octet_length(body).cast("long") + 16).alias("size"), F.crc32(body).alias("text_crc32"), curve.alias("_c"), bucket.alias("_b"))
+    most = max(1, min(group_rows, -(-total // 1000)))
+    # One row a cell: 2^(3 bits) at most.
+    cells = docs.groupBy(curve.alias("_c")).agg(F.count("*").alias("_n"))
+    cells = cells.select("_c", F.ceil(F.col("_n") / most).alias("_groups"), (F.sum("_n").over(Window.orderBy("_c")) - F.col("_n")).alias("_cell"))
+
+    def grouped(*columns: Column) -> DataFrame:
+        held = docs.select(*columns, docs["doc_id"].alias("_id"), docs["n_chars"].alias("_chars"), curve.alias("_c"))
+        held = held.join(F.broadcast(cells), "_c")
+        return held.withColumn("_b", F.pmod(F.xxhash64("_id", "_chars"), F.col("_groups")))
+
+    counts = grouped().groupBy("_c", "_b", "_cell").agg(F.count("*").alias("_n"))
+    base = counts.select("_c", "_b", (F.col("_cell") + F.sum("_n").over(Window.partitionBy("_c").orderBy("_b")) - F.col("_n")).alias("_base"))
     order = Window.partitionBy("_c", "_b").orderBy("_id", "size", "text_crc32")
-    rows = rows.withColumn("_i", F.row_number().over(order)).join(base, ["_c", "_b"])
+    size, crc = (F.octet_length(body).cast("long") + 16).alias("size"), F.crc32(body).alias("text_crc32")
+    rows = grouped(*[docs[c].alias(c) for c in keep], size, crc).withColumn("_i", F.row_number().over(order)).join(base, ["_c", "_b"])
     place = F.col("_base") + F.col("_i") - 1
     # Shard s holds places from ceil(s * total / shards) on.
     number = F.expr(f"((_base + _i - 1) * {shards}L) div {max(total, 1)}L")
