@@ -47,12 +47,13 @@ def number_rows(scope: Scope, ast) -> tuple[Scope, tuple]:
         seq, temp = scope.graph.catalog.sequence(call[2][0][1]), f"_seq{len(scope.df.columns)}"
         df = materialize(row_numbers(scope.df, temp, -1))
         n = df.count()
-        if n == 1:
-            value = F.lit(seq.advance()).cast("long")
-        else:
-            place, size = seq.reserve(n)
-            origin = seq.low if seq.by > 0 else seq.high
-            value = ((F.col(temp) + F.lit(place).cast("long")).cast("decimal(38,0)") % F.lit(size).cast("decimal(38,0)") * seq.by + F.lit(origin).cast("decimal(38,0)")).cast("long")
+        first, left, again, size = seq.spread(n)
+        big = lambda x: F.lit(x).cast("decimal(38,0)")
+        i = F.col(temp).cast("decimal(38,0)")
+        value = i * seq.by + big(first)
+        if left < n:
+            value = F.when(i < big(left), value).otherwise((i - big(left)) % big(size) * seq.by + big(again))
+        value = value.cast("long")
         scope = scope.at(df.withColumn(temp, value))
         ast = replace(ast, lambda x, call=call, temp=temp: ("col", temp) if x is call else None)
     return scope, ast

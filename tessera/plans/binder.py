@@ -414,6 +414,8 @@ class Binder:
     _f_labels = _f_label
 
     def _f_keys(self, ast):
+        if isinstance(t := self.type_of(ast), T.StructType) and "_LABEL" not in t.names:
+            return F.when(self.expr(ast).isNotNull(), F.array(*[L(n) for n in t.names]))
         v = self.graph_var(ast)
         return F.array(*[L(p) for p in v.props])
 

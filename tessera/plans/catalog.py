@@ -67,19 +67,23 @@ class Sequence:
         return self.value
 
     def advance(self) -> int:
-        return self.reserve(1)[0]
-
-    def reserve(self, n: int) -> tuple[int, int]:
-        """(place of the first, size of the cycle) of the next ``n`` values, counted
-        in steps from the end of the range where a cycle starts again."""
-        origin = self.low if self.by > 0 else self.high
-        size = (self.high - self.low) // abs(self.by) + 1
-        place = ((self.start if self.value is None else self.value + self.by) - origin) // self.by
-        if not self.cycle and (place < 0 or place + n > size):
+        first, _, _, _ = self.spread(1)
+        return first
+
+    def spread(self, n: int) -> tuple[int, int, int, int]:
+        """Reserve the next ``n`` values: (first, left, again, size). Value i is first +
+        i * by for i < left, and again + (i - left) % size * by from there on."""
+        nxt = self.start if self.value is None else self.value + self.by
+        step, again = abs(self.by), self.low if self.by > 0 else self.high
+        size = (self.high - self.low) // step + 1
+        left = max(0, (self.high - nxt if self.by > 0 else nxt - self.low) // step + 1)
+        if not self.cycle and left < n:
             raise QueryError(f"nextval: reached limit of sequence {self.name}")
+        if not left:
+            nxt, left = again, size
         if n:
-            self.value = origin + (place + n - 1) % size * self.by
-        return (origin + place % size * self.by, size) if n == 1 else (place % size, size)
+            self.value = nxt + (n - 1) * self.by if n <= left else again + (n - 1 - left) % size * self.by
+        return nxt, left, again, size
 
 
 class Catalog:

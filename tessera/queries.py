@@ -10,6 +10,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .query_families import FAMILIES, KNOWS_FAMILIES, SESSIONS, WALKS
 from .session import Graph
 
 
@@ -281,5 +282,7 @@ CHANGED_SQL = """
     m AS (SELECT id, name, CASE WHEN id = 3 THEN 9 ELSE region END AS region, CASE WHEN id < 5 THEN 'low' || id ELSE 'none' END AS note FROM n WHERE id <> 7 UNION ALL SELECT 100, 'new', 0, 'none')
     SELECT id, name, region, note, e.b AS next, gap FROM m LEFT JOIN e ON e.a = m.id"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run, name) for name in PAIRS} | {"changed_graph": changed_graph}
-ORACLES: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items() if sql} | {"changed_graph": CHANGED_SQL}
+PAIRS |= FAMILIES | {name: (text, f"WITH {KNOWS}, {WALKS} {sql}") for name, (text, sql) in KNOWS_FAMILIES.items()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run, name) for name in PAIRS} | {"changed_graph": changed_graph} | {name: f for name, (f, _) in SESSIONS.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items() if sql} | {"changed_graph": CHANGED_SQL} | {name: sql for name, (_, sql) in SESSIONS.items()}
