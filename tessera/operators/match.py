@@ -266,8 +266,17 @@ class Matcher:
             self.scope.df = self.scope.df.withColumns({f"{end}___id": F.col(key), f"{end}___label": F.col(label)})
         self.bound(end)
 
-    def run(self) -> Scope:
+    def run(self, hint: list[str] = ()) -> Scope:
+        """Join everything; relationships and nodes named in ``hint`` in its order."""
         self.infer()
+        unknown = [n for n in hint if n not in self.nodes and not any(e["name"] == n for e in self.edges)]
+        if unknown:
+            raise QueryError(f"Cannot bind {unknown[0]} of the join hint: it is no variable of the pattern.")
+        rank = {n: i for i, n in enumerate(hint)}
+        last = len(rank)
+        self.edges.sort(key=lambda e: max(rank.get(e["name"], last), min(rank.get(e["left"], last), rank.get(e["right"], last))))
+        if hint and hint[0] in self.nodes and hint[0] not in self.placed:
+            self.place(hint[0])
         for name in list(self.placed):
             if name in self.filters:
                 self.apply_filters(name)
@@ -285,7 +294,8 @@ class Matcher:
                 ready = [e]
             if ready:
                 # Close cycles first: an edge between two bound nodes only removes rows.
-                e = next((x for x in ready if x["left"] in self.placed and x["right"] in self.placed), ready[0])
+                closing = [x for x in ready if x["left"] in self.placed and x["right"] in self.placed]
+                e = ready[0] if hint else (closing or ready)[0]
                 pending.remove(e)
                 self.extend(e)
             else:
@@ -293,11 +303,11 @@ class Matcher:
         return self.scope
 
 
-def match_paths(scope: Scope, patterns: list[dict]) -> Scope:
+def match_paths(scope: Scope, patterns: list[dict], hint: list[str] = ()) -> Scope:
     m = Matcher(scope)
     for p in patterns:
         m.add(p)
-    return m.run()
+    return m.run(hint)
 
 
 # ------------------------------------------------------- correlated patterns
@@ -394,7 +404,7 @@ def where(scope: Scope, condition) -> Scope:
 
 def match_clause(scope: Scope, clause: dict) -> Scope:
     if not clause["optional"]:
-        return where(match_paths(scope, clause["paths"]), clause["where"])
+        return where(match_paths(scope, clause["paths"], clause["hint"]), clause["where"])
     if not scope.vars:  # nothing is bound: a single row of nulls where nothing matches
         inner = where(match_paths(scope, clause["paths"]), clause["where"])
         one = scope.graph.dummy().select()

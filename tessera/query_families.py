@@ -91,6 +91,18 @@ FAMILIES: dict[str, tuple[str, str]] = {
         "MATCH (a:Customer:Supplier)-[:FROM_NATION]->(n:Nation) MATCH (a:Supplier) RETURN n.n_name AS nation, count(*) AS n",
         "SELECT n_name AS nation, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
     ),
+    "count_long_chain": (
+        "MATCH (:Region)<-[:IN_REGION]-(:Nation)<-[:FROM_NATION]-(c:Customer)-[:PLACED]->(:Orders)-[:HOLDS]->(:Part) RETURN count(*) AS n",
+        "SELECT count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey",
+    ),
+    "count_wide_chain": (
+        "MATCH (:Customer)-[:FROM_NATION]->(:Nation)<-[:FROM_NATION]-(:Customer) RETURN count(*) AS n",
+        "SELECT sum(n * n)::BIGINT AS n FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)",
+    ),
+    "join_order_hint": (
+        "MATCH (c:Customer)-[f:FROM_NATION]->(n:Nation)-[i:IN_REGION]->(r:Region) WHERE r.r_name = 'ASIA' HINT ((r JOIN i) JOIN n) JOIN (f JOIN c) RETURN n.n_name AS nation, count(*) AS n",
+        "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1",
+    ),
     "exists_mark_column": (
         "MATCH (c:Customer) RETURN EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 200000 } AS rich, count(*) AS n",
         "SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS rich, count(*) AS n FROM customer GROUP BY 1",

@@ -85,3 +85,20 @@ def test_export_and_attach(g, spark, tmp_path):
         other.query("MATCH (n:N) RETURN n")
     with pytest.raises(QueryError):
         other.query(f"ATTACH '{path}x' AS none (DBTYPE parquet)")
+
+
+def test_hints_name_the_join_order(g):
+    g.query("CREATE NODE TABLE A(id INT64, v STRING, PRIMARY KEY(id)); CREATE REL TABLE R(FROM A TO A); UNWIND [1, 2, 3] AS x CREATE (:A {id: x, v: 'v'}); MATCH (a:A), (b:A) WHERE a.id + 1 = b.id CREATE (a)-[:R]->(b)")
+    text = "MATCH (a:A)-[e:R]->(b:A)-[f:R]->(c:A) WHERE c.v = 'v' HINT {} RETURN a.id AS a, c.id AS c"
+    for order in ("((c JOIN f) JOIN b) JOIN (e JOIN a)", "((a JOIN e) JOIN b) JOIN (f JOIN c)"):
+        assert one(g, text.format(order)) == (1, 3)
+    with pytest.raises(QueryError):
+        g.query(text.format("(x JOIN e) JOIN b"))
+
+
+def test_counts_of_chains(g):
+    g.query("CREATE NODE TABLE A(id INT64, PRIMARY KEY(id)); CREATE REL TABLE R(FROM A TO A); UNWIND range(1, 6) AS x CREATE (:A {id: x}); MATCH (a:A), (b:A) WHERE a.id < b.id CREATE (a)-[:R]->(b)")
+    for pattern in ("(:A)-[:R]->(:A)-[:R]->(:A)", "(a)-[:R]->(b)-[:R]-(c)<-[:R]-(d)", "(:A)-[:R]-()-[:R]-()"):
+        listed = len(g.query(f"MATCH {pattern} WHERE true RETURN 1 AS x").collect())
+        assert one(g, f"MATCH {pattern} RETURN count(*) AS n") == listed
+    assert one(g, "MATCH (a:A {id: 1})-[:R]->()-[:R]->() RETURN count(*) AS n") == 10
