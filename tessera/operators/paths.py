@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.binder import Binder, Node, Rel, Scope, Walk, walk
-from ..plans.materialize import materialize, materialize_counted
+from ..plans.materialize import Waves, materialize
 from ..plans.parser import QueryError
 
 
@@ -191,54 +191,52 @@ class Search:
         order = [*[c for c in ("cost",) if c in rest], *[c for c in rest if c != "cost"]]
         return rows.groupBy(*self.key).agg(F.min(F.struct(*order)).alias("x")).select(*self.key, *[F.col(f"x.{c}").alias(c) for c in rest])
 
-    def unseen(self, new: DataFrame, waves: list[DataFrame], level: int) -> DataFrame:
+    def unseen(self, new: DataFrame, waves: Waves) -> DataFrame:
         """Rows of the next level that improve on all earlier ones."""
-        seen = union([x.select(*self.key, *(["cost"] if self.weighted else [])) for x in waves])
+        seen = waves.every().select(*self.key, *(["cost"] if self.weighted else []))
         if not self.tracked and not self.kind.startswith("ALL"):
             # One aggregation over old and new rows together: no join, no sort.
-            if not self.weighted:
-                both = seen.select(*self.key, F.lit(0).alias("f")).unionByName(new.select(*self.key, F.lit(1).alias("f")))
-                return both.groupBy(*self.key).agg(F.min("f").alias("f")).where("f = 1").select(*self.key, F.lit(level).alias("len"))
             none = F.lit(None).cast("double")
-            both = seen.select(*self.key, F.col("cost").alias("old"), none.alias("cost")).unionByName(new.select(*self.key, none.alias("old"), "cost"))
-            both = both.groupBy(*self.key).agg(F.min("old").alias("old"), F.min("cost").alias("cost")).where("cost is not null and (old is null or cost < old)")
-            return both.select(*self.key, F.lit(level).alias("len"), "cost")
+            old = seen.select(*self.key, F.lit(0).alias("f"), F.lit(0).alias("len"), *([F.col("cost").alias("old"), none.alias("cost")] if self.weighted else []))
+            new = new.select(*self.key, F.lit(1).alias("f"), "len", *([none.alias("old"), "cost"] if self.weighted else []))
+            costs = [F.min("old").alias("old"), F.min("cost").alias("cost")] if self.weighted else []
+            both = old.unionByName(new).groupBy(*self.key).agg(F.min("f").alias("f"), F.max("len").alias("len"), *costs)
+            return both.where("cost is not null and (old is null or cost < old)" if self.weighted else "f = 1")
         if not self.weighted:
             new = new.join(seen.distinct(), self.key, "left_anti")
             return self.cheapest(new) if self.kind == "SHORTEST" else new
         best = seen.groupBy(*self.key).agg(F.min("cost").alias("old"))
         if self.kind == "WSHORTEST":
-            return self.cheapest(new).join(best, self.key, "left").where("old is null or cost < old").drop("old")
+            return self.cheapest(new).join(best, self.key, "left").where("old is null or cost < old")
         least = new.groupBy(*self.key).agg(F.min("cost").alias("least"))
         new = new.join(least, self.key).where("cost = least").drop("least")
-        return new.join(best, self.key, "left").where("old is null or cost <= old").drop("old")
+        return new.join(best, self.key, "left").where("old is null or cost <= old")
 
     def levels(self, start: DataFrame) -> DataFrame:
-        looped = self.shortest or self.spec["high"] is None or self.high > 3
-        out, front, waves = [start] if self.low == 0 else [], start, [start]
-        for level in range(1, self.high + 1):
-            front = self.step(front)
-            if self.shortest:
-                front = self.unseen(front, waves, level).select(*start.columns)
-            if looped:
-                front, n = materialize_counted(front)
-                if not n:
-                    break
-            waves.append(front)
-            if level >= self.low:
-                out.append(front)
-        return union(out) if out else start.limit(0)
+        if not (self.shortest or self.spec["high"] is None or self.high > 3):
+            out, front = [start] if self.low == 0 else [], start
+            for level in range(1, self.high + 1):
+                front = self.step(front)
+                if level >= self.low:
+                    out.append(front)
+            return reduce(lambda a, b: a.unionByName(b), out)
+        waves = Waves(self.m.graph.spark, start.schema)
+        waves.add(start)
+        for _ in range(self.high):
+            front = self.step(waves.last())
+            if not waves.add(self.unseen(front, waves) if self.shortest else front):
+                break
+        return waves.every(self.low) if self.low < len(waves.paths) else start.limit(0)
 
     def weighted_paths(self, start: DataFrame) -> DataFrame:
         """Rounds of relaxation. A row is kept where it is cheaper than (ALL: as
         cheap as) every earlier row of its ends; the cheapest of all rounds remain."""
-        waves = [materialize(start)]
-        for level in range(1, self.high + 1):
-            kept, n = materialize_counted(self.unseen(self.step(waves[-1]), waves, level).select(*start.columns))
-            if not n:
+        waves = Waves(self.m.graph.spark, start.schema)
+        waves.add(start)
+        for _ in range(self.high):
+            if not waves.add(self.unseen(self.step(waves.last()), waves)):
                 break
-            waves.append(kept)
-        rows, apart = union(waves), F.col("s") != F.col("v")
+        rows, apart = waves.every(), F.col("s") != F.col("v")
         rows = rows.where(apart if self.only else apart | (F.col("sl") != F.col("vl"))).where("len > 0")
         if self.kind == "WSHORTEST":
             return self.cheapest(rows)

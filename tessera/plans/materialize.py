@@ -39,11 +39,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """The same, with the number of rows, counted while they are written."""
-    seen = Observation()
-    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, seen.get["n"]
+class Waves:
+    """Rows written level by level. All levels so far are one scan, so the plans of
+    later levels look alike and Spark compiles them once."""
+
+    def __init__(self, spark: SparkSession, schema):
+        self.spark, self.schema, self.paths = spark, schema, []
+        self.root = f"{shared_dir(spark)}/waves-{uuid.uuid4().hex}"
+        remove_at_exit(spark, self.root)
+
+    def add(self, df: DataFrame) -> int:
+        """Write the next level; gives its number of rows, counted while they are written."""
+        seen = Observation()
+        path = f"{self.root}/{len(self.paths)}"
+        df.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        self.paths.append(path)
+        return seen.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def every(self, first: int = 0) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths[first:])
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:

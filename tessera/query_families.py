@@ -107,6 +107,18 @@ FAMILIES: dict[str, tuple[str, str]] = {
         "MATCH (c:Customer) RETURN EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 200000 } AS rich, count(*) AS n",
         "SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS rich, count(*) AS n FROM customer GROUP BY 1",
     ),
+    "literal_rules": (
+        "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:FROM_NATION]-(c:Customer) WHERE c.c_acctbal > 1000000 WITH n.n_nationkey AS k, collect(c.c_custkey) AS l RETURN k, size(l) AS none, k / 4 AS q, [1, 2, 3][2:9] AS s, 5 IN [1, NULL] AS i, range(3, 1) AS r, concat('a', NULL) AS c, log(100) AS lg",
+        "SELECT n_nationkey AS k, NULL::BIGINT AS none, (n_nationkey // 4)::BIGINT AS q, [2, 3]::BIGINT[] AS s, false AS i, []::BIGINT[] AS r, 'a' AS c, 2.0::DOUBLE AS lg FROM nation",
+    ),
+    "unwind_drops_nothing_rows": (
+        "MATCH (n:Nation) UNWIND CASE WHEN n.n_regionkey > 2 THEN [n.n_regionkey, 9] ELSE NULL END AS x RETURN n.n_name AS name, x",
+        "SELECT n_name AS name, unnest([n_regionkey, 9]) AS x FROM nation WHERE n_regionkey > 2",
+    ),
+    "regexp_backslashes": (
+        "MATCH (c:Customer) RETURN c.c_custkey AS k, regexp_extract(c.c_name, '\\\\d+') AS d, regexp_matches(c.c_name, '#0+\\\\d*1$') AS m",
+        "SELECT c_custkey AS k, regexp_extract(c_name, '\\d+') AS d, regexp_matches(c_name, '#0+\\d*1$') AS m FROM customer",
+    ),
     "no_such_rows": ("MATCH (c:Customer) WHERE false RETURN c.c_custkey AS k, c.c_name AS name", "SELECT c_custkey AS k, c_name AS name FROM customer WHERE false"),
     "rel_property_rows": (
         "MATCH (o:Orders)-[l:HOLDS {l_returnflag: 'R'}]->(p:Part) RETURN p.p_brand AS brand, count(*) AS n, round(sum(l.l_quantity), 1) AS q",
@@ -311,6 +323,61 @@ def plans_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.query("LOAD FROM plan RETURN 'explain' AS what, `explain result` CONTAINS 'Scan' AS ok, 0 AS n UNION ALL LOAD FROM profile RETURN 'profile' AS what, `profile result` CONTAINS 'Scan' AS ok, rows AS n")
 
 
+def more_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CALL functions whose values depend on the engine: that they answer, and how much."""
+    g = session_of(spark, sf_dir)
+    g.query("INSTALL json; LOAD json; CALL project_graph_cypher('P', 'MATCH (a:N) RETURN a'); ANALYZE; CALL clear_warnings()")
+    parts = [
+        "CALL db_version() RETURN 'db_version' AS what, size(version) > 0 AS ok",
+        "CALL catalog_version() RETURN 'catalog_version' AS what, version > 0 AS ok",
+        "CALL storage_version() RETURN 'storage_version' AS what, version > 0 AS ok",
+        "CALL storage_info('N') RETURN 'storage_info' AS what, count(*) = 3 AS ok",
+        "CALL show_attached_databases() RETURN concat('attached ', string(count(*))) AS what, count(*) = 0 AS ok",
+        "CALL bm_info() RETURN 'bm_info' AS what, mem_limit >= 0 AS ok",
+        "CALL fsm_info() RETURN concat('fsm_info ', string(count(*))) AS what, count(*) >= 0 AS ok",
+        "CALL file_info() RETURN 'file_info' AS what, count(*) = 2 AS ok",
+        "CALL disk_size_info() RETURN 'disk_size_info' AS what, count(*) = 2 AS ok",
+        "CALL show_loaded_extensions() RETURN 'loaded' AS what, count(*) = 1 AS ok",
+        "CALL show_official_extensions() RETURN 'official' AS what, count(*) > 0 AS ok",
+        "CALL show_indexes() RETURN concat('indexes ', string(count(*))) AS what, count(*) = 0 AS ok",
+        "CALL show_warnings() RETURN concat('warnings ', string(count(*))) AS what, count(*) = 0 AS ok",
+        "CALL show_projected_graphs() RETURN 'projected' AS what, count(*) = 1 AS ok",
+    ]
+    return g.query(" UNION ALL ".join(parts))
+
+
+def merged_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MERGE of relationships: those that exist are set, the others created."""
+    g = session_of(spark, sf_dir)
+    g.query("MATCH (a:N), (b:N) WHERE a.id + 1 = b.id OR a.id = b.id + 20 MERGE (a)-[e:NEXT]->(b) ON MATCH SET e.gap = 100 ON CREATE SET e.gap = 200")
+    return g.query("MATCH (a:N)-[e:NEXT]->(b:N) RETURN a.id AS a, b.id AS b, e.gap AS gap")
+
+
+def more_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relationship table over several pairs of node tables, changed by ALTER."""
+    g = session_of(spark, sf_dir)
+    g.query("""
+        CREATE NODE TABLE M(id INT64, PRIMARY KEY(id));
+        MATCH (a:N) WITH DISTINCT a.region AS r CREATE (:M {id: r});
+        ALTER TABLE NEXT ADD FROM N TO M;
+        MATCH (a:N), (m:M) WHERE a.region = m.id CREATE (a)-[:NEXT {gap: -1}]->(m)""")
+    return g.query("MATCH (a:N)-[e:NEXT]->(b) RETURN label(b) AS kind, count(*) AS n, min(e.gap) AS low")
+
+
+def csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimiters inside quoted values, nulls and headers given by the query."""
+    g, path = session_of(spark, sf_dir), folder(spark)
+    g.query(f"COPY (MATCH (a:N) RETURN a.id AS id, concat(a.name, ';', a.region) AS name, CASE WHEN a.id % 2 = 0 THEN a.region END AS region) TO '{path}/n.csv' (HEADER=true, DELIM=';')")
+    return g.query(f"LOAD WITH HEADERS (k INT64, what STRING, r INT64) FROM '{path}/n.csv' (HEADER=true, DELIM=';') RETURN k, what, r")
+
+
+def loaded_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOAD FROM a DataFrame given as a parameter, joined with matched rows."""
+    g = session_of(spark, sf_dir)
+    given = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_nationkey as long) as nation", "s_acctbal as bal")
+    return g.query("LOAD FROM $given WITH nation, count(*) AS n, round(sum(bal), 2) AS total MATCH (a:N) WHERE a.id = nation RETURN a.name AS name, n, total", given=given)
+
+
 _N = "SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation"
 _NEXT = f"WITH n AS ({_N}), e AS (SELECT a.id AS a, b.id AS b, b.region - a.region AS gap FROM n a JOIN n b ON a.id + 1 = b.id)"
 SESSIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -332,5 +399,10 @@ SESSIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "projected_graphs": (projected_graphs, "SELECT * FROM (VALUES ('graph', 'P', 'NATIVE'), ('part', 'N', 'NODE'), ('part', 'NEXT', 'REL')) AS t(what, a, b)"),
     "rejected_rows": (rejected_rows, "SELECT s_suppkey % 2 = 0 AS twice, count(*) AS n FROM supplier GROUP BY 1"),
     "user_function": (user_function, "SELECT n_nationkey::BIGINT AS id, 3 * n_nationkey::BIGINT AS v FROM nation"),
+    "more_listings": (more_listings, "SELECT what, true AS ok FROM (SELECT unnest(['db_version', 'catalog_version', 'storage_version', 'storage_info', 'attached 0', 'bm_info', 'fsm_info 0', 'file_info', 'disk_size_info', 'loaded', 'official', 'indexes 0', 'warnings 0', 'projected']) AS what)"),
+    "merged_relationships": (merged_relationships, f"{_NEXT} SELECT a, b, 100::BIGINT AS gap FROM e UNION ALL SELECT a.id, b.id, 200 FROM n a JOIN n b ON a.id = b.id + 20"),
+    "more_ends": (more_ends, f"{_NEXT} SELECT 'N' AS kind, count(*) AS n, min(gap) AS low FROM e UNION ALL SELECT 'M', count(*), -1 FROM n"),
+    "csv_options": (csv_options, "SELECT n_nationkey::BIGINT AS k, n_name || ';' || n_regionkey AS what, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey::BIGINT END AS r FROM nation"),
+    "loaded_parameters": (loaded_parameters, "SELECT n_name AS name, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"),
     "plans_of_queries": (plans_of_queries, "SELECT 'explain' AS what, true AS ok, 0::BIGINT AS n UNION ALL SELECT 'profile', true, count(*) FROM nation"),
 }
