@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary
-    one set for this session when the setting is absent (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..plans.materialize import materialize, shared_dir
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage
     ends here, so a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df)
+
+
+def tidy(scan):
+    """``scan`` for mapInArrow, giving its memory back to the system when a task
+    ends: Python workers outlive their tasks, and idle ones add up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -40,3 +43,27 @@ def utf8(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hot_keys(counts: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Of (key, n) rows those with over a ``share``-th of the sum of n, and ``parts``
+    to deal their rows to. They are ``share`` keys at most, however many rows there are."""
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = counts.join(F.broadcast(total), F.col("n") > F.col("total") / share)
+    return hot.select(key, F.ceil(F.col("n") * share / F.col("total")).alias("parts"))
+
+
+def dealt(df: DataFrame, hot: DataFrame, key: str, spread: bool) -> DataFrame:
+    """``df`` with a salt: rows of hot keys in one part each, or in every part."""
+    held = df.join(F.broadcast(hot), key, "left")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts) if spread else F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    return held.withColumn("_salt", salt).drop("parts")
+
+
+def join_many(left: DataFrame, right: DataFrame, hot: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join many rows a key with one row a key; rows of hot keys go to many tasks."""
+    return dealt(left, hot, key, True).join(dealt(right, hot, key, False), [key, "_salt"], how).drop("_salt")
+
+
+__all__ = ["dealt", "hot_keys", "join_many", "pick", "shared_dir", "stage", "table", "tidy", "utf8"]

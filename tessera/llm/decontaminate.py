@@ -1,9 +1,11 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed hashes some positions of a token window and ignores the others, so one or
-more substituted tokens do not hide a match. Training windows are looked up among
-the hashes of the test items, and each hit is verified token by token along its
-diagonal, tolerating substitutions.
+more substituted tokens do not hide a match. One scan of the corpus keeps the
+texts with a window that a bit filter of the test items' hashes lets pass; their
+windows are joined with the items' windows by hash, and each diagonal hit is
+verified token by token, tolerating substitutions. The filter's size is bounded,
+whatever the test set's; a fuller filter only lets more windows reach the join.
 """
 
 from __future__ import annotations
@@ -16,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import utf8
+from .common import stage, tidy, utf8
 
 # Seed masks over a window of tokens (1 compares, 0 ignores).
 # Any 13 to 300 tokens of which four fifths are equal, the first and the last among
 # them, hold all compared positions of one of them.
 MASKS = ("1111011", "1101111", "11101011", "11011011", "111111", "110101011")
-BLOCK_TOKENS = 2_000_000
+FILTER_BITS = 27  # of the filter's size, at most: 16 MB
+PROBES = 4
+TEXT_EDGE, ITEM_EDGE = 1, 2  # stand for the window before the first one
+BROADCAST_ROWS = 500_000  # doc keys of 16 bytes: below this a set of them is sent to every task
 # Letters and digits of ASCII (lower-cased) and every byte of a longer character.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -78,89 +83,173 @@ class Tokens:
         return at, bs.mix(h[at])
 
 
-class SeedIndex:
-    """Sorted seed hashes of a bounded block of test items, with a bit filter in front."""
-
-    def __init__(self, items: list[tuple[object, bytes]], share: float = 0.8, least: int = 13):
-        self.names = [i for i, _ in items]
-        off = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-        self.tokens = Tokens(np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), off)
-        self.size = np.diff(self.tokens.first)
-        self.tables = []
-        for mask in MASKS:
-            self.add(mask, self.size >= least)
-        for size in np.unique(self.size[(self.size > 0) & (self.size < least)]).tolist():
-            for mask in whole_masks(size, share):
-                self.add(mask, self.size == size)
-
-    def add(self, mask: str, among: np.ndarray) -> None:
-        """Index the windows of one mask in some of the items."""
-        at, h = self.tokens.seeds(mask)
-        chosen = among[self.tokens.rows[at]]
-        at, h = at[chosen], h[chosen]
-        if not len(at):
-            return
-        order = np.argsort(h, kind="stable")
-        bits = np.zeros(1 << 22, dtype=bool)
-        bits[(h >> np.uint64(42)).astype(np.int64)] = True
-        self.tables.append((mask, h[order], at[order], bits))
-
-    def hits(self, t: Tokens) -> np.ndarray:
-        """Distinct (row, item, diagonal) triples with a seed in common."""
-        found = []
-        for mask, hashes, places, bits in self.tables:
-            at, h = t.seeds(mask)
-            maybe = bits[(h >> np.uint64(42)).astype(np.int64)]
-            at, h = at[maybe], h[maybe]
-            lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
-            n = hi - lo
-            src = np.repeat(at, n)
-            dst = places[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            item = self.tokens.rows[dst]
-            triples = np.stack([t.rows[src], item, (src - t.first[t.rows[src]]) - (dst - self.tokens.first[item])], 1)
-            if "0" not in mask and len(mask) < 6:  # a short item, whole: its first place in a text is enough
-                triples = triples[np.unique(triples[:, :2], axis=0, return_index=True)[1]]
-            found.append(triples)
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-    def verify(self, t: Tokens, row: int, item: int, diagonal: int, share: float, least: int) -> tuple[int, int, int] | None:
-        """Best aligned stretch of at least ``share`` equal tokens: (start in text, tokens, equal).
-
-        The stretch must have ``least`` tokens, or be the item where that is shorter.
-        """
-        a = t.ids[t.first[row] : t.first[row + 1]]
-        b = self.tokens.ids[self.tokens.first[item] : self.tokens.first[item + 1]]
-        lo, hi = max(0, diagonal), min(len(a), diagonal + len(b))
-        equal = a[lo:hi] == b[lo - diagonal : hi - diagonal]
-        need = min(least, len(b))
-        if len(equal) < need or not equal.any():
-            return None
-        # Longest stretch that begins and ends with an equal token and whose equal
-        # share is at least ``share``: prefix sums of (equal - share) that do not
-        # fall from its start to its end.
-        level = np.concatenate([[0.0], np.cumsum(equal - share)])
-        lowest = np.minimum.accumulate(np.where(equal, level[:-1], np.inf))
-        end = np.flatnonzero(equal) + 1
-        start = np.searchsorted(-lowest, -(level[end] + 1e-9), side="left")
-        length = end - start
-        best = int(np.argmax(length))
-        if length[best] < need:
-            return None
-        s, e = int(start[best]), int(end[best])
-        return lo + s, e - s, int(equal[s:e].sum())
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
-    """Test items in blocks of bounded size; a larger test set only makes more blocks."""
-    held, size = [], 0
-    for r in items.toLocalIterator():
-        held.append((r["item_id"], bytes(r["body"])))
-        size += len(r["body"]) // 4 + 1
-        if size >= BLOCK_TOKENS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def plan_masks(sizes: list[int], share: float, least: int) -> list[tuple[str, int]]:
+    """(mask, item size) pairs; size 0 stands for all items of ``least`` tokens or more."""
+    masks = [(m, 0) for m in MASKS] if any(n >= least for n in sizes) else []
+    return masks + [(m, n) for n in sorted({n for n in sizes if 0 < n < least}) for m in whole_masks(n, share)]
+
+
+def windows(t: Tokens, mask: str, number: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, hashes of the windows one token before) of a mask."""
+    at, h = t.seeds(mask)
+    h = bs.mix(h + np.uint64(number + 1) * np.uint64(0xD1342543DE82EF95))
+    before = np.full(len(h), edge, dtype=np.uint64)
+    if len(h) > 1:
+        goes_on = (at[1:] == at[:-1] + 1) & (t.rows[at[1:]] == t.rows[at[:-1]])
+        before[1:][goes_on] = h[:-1][goes_on]
+    return at, h, before
+
+
+def places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The filter's bits of each hash."""
+    low, step, all_of = h, (h >> np.uint64(32)) | np.uint64(1), np.uint64((1 << bits) - 1)
+    for j in range(PROBES):
+        yield (low + np.uint64(j) * step) & all_of
+
+
+class BitFilter:
+    """Which hashes may be among the test items'."""
+
+    def __init__(self, bits: int, words: dict[int, int]):
+        self.bits = bits
+        full = np.zeros(1 << max(0, bits - 6), dtype=np.uint64)
+        if words:
+            full[np.fromiter(words, np.int64, len(words))] = np.fromiter(words.values(), np.int64, len(words)).view(np.uint64)
+        self.packed = full.view(np.uint8)
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h), dtype=bool)
+        for i in places(h, self.bits):
+            ok &= (self.packed[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def verify(a: np.ndarray, b: np.ndarray, diagonal: int, share: float, least: int) -> tuple[int, int, int] | None:
+    """Best aligned stretch of at least ``share`` equal tokens: (start in text, tokens, equal).
+
+    a and b are the tokens of text and item. The stretch must have ``least``
+    tokens, or be the item where that is shorter.
+    """
+    lo, hi = max(0, diagonal), min(len(a), diagonal + len(b))
+    equal = a[lo:hi] == b[lo - diagonal : hi - diagonal]
+    need = min(least, len(b))
+    if len(equal) < need or not equal.any():
+        return None
+    # Longest stretch that begins and ends with an equal token and whose equal
+    # share is at least ``share``: prefix sums of (equal - share) that do not
+    # fall from its start to its end.
+    level = np.concatenate([[0.0], np.cumsum(equal - share)])
+    lowest = np.minimum.accumulate(np.where(equal, level[:-1], np.inf))
+    end = np.flatnonzero(equal) + 1
+    start = np.searchsorted(-lowest, -(level[end] + 1e-9), side="left")
+    length = end - start
+    best = int(np.argmax(length))
+    if length[best] < need:
+        return None
+    s, e = int(start[best]), int(end[best])
+    return lo + s, e - s, int(equal[s:e].sum())
+
+
+def _tokens_of(text: bytes) -> np.ndarray:
+    return Tokens(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])).ids
+
+
+def _batch_tokens(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
+    """(first row, tokens) of slices of a batch."""
+    raw, off = bs.buffers(column)
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + 2 * bs.SLICE, side="right")) - 1))
+        yield i, Tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        i = j
+
+
+SEED = "array<struct<h: bigint, before: bigint, at: bigint>>"
+SEED_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("before", pa.int64()), ("at", pa.int64())]))
+
+
+def _seed_lists(rows: np.ndarray, n: int, columns: list[np.ndarray]) -> pa.Array:
+    """Each row's seeds as a list of (h, before, at)."""
+    order = np.argsort(rows, kind="stable")
+    cut = np.searchsorted(rows[order], np.arange(n + 1)).astype(np.int32)
+    parts = pa.StructArray.from_arrays([pa.array(c[order].view(np.int64)) for c in columns], names=["h", "before", "at"])
+    return pa.ListArray.from_arrays(pa.array(cut), parts)
+
+
+def _text_seeds(masks: list[tuple[str, int]], held):
+    """(doc_id, tk, body) -> the texts that may share a seed with an item, and these seeds."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in _batch_tokens(batch.column(2)):
+                n = len(t.first) - 1
+                rows, cols = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(3)]
+                for number, (mask, _) in enumerate(masks):
+                    at, h, before = windows(t, mask, number, TEXT_EDGE)
+                    ok = np.flatnonzero(held.value.may_hold(h))
+                    if "0" not in mask and len(mask) < 6 and len(ok):  # a short item, whole: its first place in a text is enough
+                        pairs = np.stack([t.rows[at[ok]].astype(np.uint64), h[ok]], 1)
+                        ok = ok[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
+                    at = at[ok]
+                    rows.append(t.rows[at])
+                    for c, v in zip(cols, (h[ok], before[ok], (at - t.first[t.rows[at]]).astype(np.uint64)), strict=True):
+                        c.append(v)
+                lists = _seed_lists(np.concatenate(rows), n, [np.concatenate(c) for c in cols])
+                some = pa.array(np.flatnonzero(np.diff(lists.offsets.to_numpy())))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n).take(some) for c in range(3)), lists.take(some)], names=["doc_id", "tk", "body", "seeds"])
+
+    return scan
+
+
+def _item_seeds(masks: list[tuple[str, int]], least: int):
+    """(item_id, ik, body) -> the seeds of each item."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in _batch_tokens(batch.column(2)):
+                n, size = len(t.first) - 1, np.diff(t.first)
+                rows, cols = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(3)]
+                for number, (mask, of) in enumerate(masks):
+                    at, h, before = windows(t, mask, number, ITEM_EDGE)
+                    ok = np.flatnonzero(size[t.rows[at]] == of if of else size[t.rows[at]] >= least)
+                    rows.append(t.rows[at[ok]])
+                    for c, v in zip(cols, (h[ok], before[ok], (at[ok] - t.first[t.rows[at[ok]]]).astype(np.uint64)), strict=True):
+                        c.append(v)
+                lists = _seed_lists(np.concatenate(rows), n, [np.concatenate(c) for c in cols])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), lists], names=["item_id", "ik", "seeds"])
+
+    return scan
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, t in _batch_tokens(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(t.first))], names=["n"])
+
+
+def _verify_rows(share: float, least: int, kinds: tuple[pa.DataType, pa.DataType]):
+    """Rows of a text, its body first, then its items with their diagonals."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, text = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, tk, role, body, item_id, diagonals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if role == 0:
+                    here, text = (doc_id, tk), _tokens_of(body)
+                    continue
+                assert here == (doc_id, tk)
+                item, best = _tokens_of(body), None
+                for d in sorted(diagonals):
+                    got = verify(text, item, d, share, least)
+                    if got and (best is None or got[1] > best[1]):
+                        best = got
+                if best:
+                    out.append((doc_id, tk, item_id, *best))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (kinds[0], pa.int64(), kinds[1], pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "doc_key", "item_id", "doc_start", "n_tokens", "n_equal"])
+
+    return scan
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: int = 13) -> DataFrame:
@@ -170,44 +259,43 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: i
     item, where that is shorter), from an equal token to an equal token, agrees
     in at least ``share`` of its tokens at equal offsets and has a spaced seed in
     common. With the defaults every such stretch of up to 300 tokens has one, and
-    whole items always do. Items without tokens match
-    nothing. Null texts and items count as empty; repeated items are reported
-    once each, repeated rows each by itself. doc_key tells rows with equal
-    doc_id but different text apart. The test set is used in blocks of bounded
-    size, each sent to every executor; a larger one makes more passes.
+    whole items always do. Items without tokens match nothing. Null texts and
+    items count as empty, empty tables give an empty result, other columns are
+    ignored. Items that repeat an id and text count once, and so do rows that
+    repeat a doc_id and text; doc_key tells rows with equal doc_id but different
+    text apart. Of the longest stretches of a text and item the one on the lowest
+    diagonal is given. On a diagonal only the first of adjoining hits is kept, so
+    a very long repetitive text gives no more diagonals than it has tokens.
     """
     spark = docs.sparkSession
-    kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    schema = f"doc_id {kind}, doc_key long, item_id {item_kind}, doc_start long, n_tokens long, n_equal long"
-    body = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("doc_key"), utf8(docs["text"]).alias("body"))
-    items = benchmark.select(benchmark["item_id"].alias("item_id"), utf8(benchmark["text"]).alias("body"))
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items):
-        held = spark.sparkContext.broadcast(SeedIndex(block, share, least))
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            for batch in batches:
-                raw, off = bs.buffers(batch.column(2))
-                i, n = 0, len(off) - 1
-                while i < n:
-                    j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + 4 * bs.SLICE, side="right")) - 1))
-                    t = Tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                    for row, item, diagonal in index.hits(t).tolist():
-                        got = index.verify(t, row, item, diagonal, share, least)
-                        if got and got[1] > best.get((row, item), (0, 0, 0))[1]:
-                            best[row, item] = got
-                    keys = list(best)
-                    take = pa.array([i + r for r, _ in keys], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), pa.array([index.names[x] for _, x in keys], arrow_type(item_kind))] + [pa.array([best[k][c] for k in keys], pa.int64()) for c in range(3)],
-                        names=["doc_id", "doc_key", "item_id", "doc_start", "n_tokens", "n_equal"],
-                    )
-                    i = j
-
-        out = out.unionByName(body.mapInArrow(scan, schema))
-    return out
+    kinds = tuple(x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    schema = f"doc_id {kinds[0]}, doc_key long, item_id {kinds[1]}, doc_start long, n_tokens long, n_equal long"
+    items = benchmark.select(benchmark["item_id"].alias("item_id"), F.coalesce(F.xxhash64(benchmark["text"]), F.lit(0)).alias("ik"), utf8(benchmark["text"]).alias("body")).dropDuplicates(["item_id", "ik"])
+    sizes = items.select("body").mapInArrow(_sizes, "n long").select(F.least("n", F.lit(least)).alias("n")).distinct()
+    masks = plan_masks([r["n"] for r in sizes.collect()], share, least)  # at most ``least`` + 1 numbers
+    if not masks:
+        return spark.createDataFrame([], schema)
+    seeds = stage(items.select("item_id", "ik", "body").mapInArrow(_item_seeds(masks, least), f"item_id {kinds[1]}, ik long, seeds {SEED}").select("item_id", "ik", F.explode("seeds").alias("x")).select("item_id", "ik", "x.*"))
+
+    bits = min(FILTER_BITS, max(16, int(seeds.count()).bit_length() + 6))
+    step = F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1).cast("long"))
+    place = F.explode(F.array(*[(F.col("h") + step * F.lit(j)).bitwiseAND(F.lit((1 << bits) - 1)) for j in range(PROBES)]))
+    words = seeds.select(place.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("v"))
+    held = spark.sparkContext.broadcast(BitFilter(bits, {r["w"]: r["v"] for r in words.collect()}))  # 2 ** (FILTER_BITS - 6) words at most
+
+    body = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("tk"), utf8(docs["text"]).alias("body"))
+    found = stage(body.mapInArrow(tidy(_text_seeds(masks, held)), f"doc_id {kinds[0]}, tk long, body binary, seeds {SEED}"))
+    mine = found.select("doc_id", "tk", F.explode("seeds").alias("x")).select("doc_id", "tk", "x.h", F.col("x.before").alias("b1"), F.col("x.at").alias("a1"))
+    other = seeds.select("item_id", "ik", "h", F.col("before").alias("b2"), F.col("at").alias("a2"))
+    hits = mine.join(other, (mine["h"] == other["h"]) & (mine["b1"] != other["b2"])).select("doc_id", "tk", "item_id", "ik", (F.col("a1") - F.col("a2")).alias("diagonal"))
+    hits = hits.groupBy("doc_id", "tk", "item_id", "ik").agg(F.collect_set("diagonal").alias("diagonals"))
+    other = items.select(F.col("item_id").alias("_i"), F.col("ik").alias("_k"), "body")
+    hits = stage(hits.join(other, hits["item_id"].eqNullSafe(other["_i"]) & (hits["ik"] == other["_k"])).select("doc_id", "tk", F.lit(1).alias("role"), "body", "item_id", "ik", "diagonals"))
+    keys = hits.select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).distinct()
+    texts = found.join(keys, found["doc_id"].eqNullSafe(keys["_d"]) & (found["tk"] == keys["_t"]), "left_semi")
+    texts = texts.select("doc_id", "tk", F.lit(0).alias("role"), "body", F.lit(None).cast(kinds[1]).alias("item_id"), F.lit(None).cast("long").alias("ik"), F.array().cast("array<bigint>").alias("diagonals"))
+    both = texts.unionByName(hits).repartition("doc_id", "tk").sortWithinPartitions("doc_id", "tk", "role", "item_id", "ik")
+    return both.select("doc_id", "tk", "role", "body", "item_id", "diagonals").mapInArrow(tidy(_verify_rows(share, least, (arrow_type(kinds[0]), arrow_type(kinds[1])))), schema)
 
 
 def arrow_type(simple: str) -> pa.DataType:
@@ -216,6 +304,8 @@ def arrow_type(simple: str) -> pa.DataType:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
     """The rows of ``docs`` that overlap no test item, all their columns unchanged."""
-    bad = overlaps(docs, benchmark, **more).select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
+    bad = stage(overlaps(docs, benchmark, **more).select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     key = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")

@@ -2,47 +2,56 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import hot_keys, join_many, stage, tidy, utf8
 from .components import connected_components
 
 SEED = 42
 LEAF = 96
+SHARD_MEAN = 2000
 
 
 # ------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The 64-bit SimHash of a text's word shingles; zero without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; none without words."""
     words = text.lower().split()  # of bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        end = np.cumsum(size + 1) - 1
-        begin = (end - size).tolist()
-        one = xxhash.xxh64_intdigest
-        hashes = [one(joined[i:j], SEED) for i, j in zip(begin, end[shingle - 1 :].tolist(), strict=False)]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    end = np.cumsum(size + 1) - 1
+    begin = (end - size).tolist()
+    one = xxhash.xxh64_intdigest
+    return np.array([one(joined[i:j], SEED) for i, j in zip(begin, end[shingle - 1 :].tolist(), strict=False)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have; zero without hashes."""
     n = len(hashes)
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 4096):
-        part = np.array(hashes[at : at + 4096], dtype="<u8")
+        part = hashes[at : at + 4096].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The 64-bit SimHash of a text's word shingles; zero without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long) and the columns in ``keep``."""
 
@@ -55,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ())
     columns = [docs["doc_id"].alias("doc_id"), *(docs[c].alias(c) for c in keep)]
     slim = docs.select(*columns, utf8(docs["text"]).alias("_body"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(scan, f"{kind}, fp long")
+    return slim.mapInArrow(tidy(scan), f"{kind}, fp long")
 
 
 # ------------------------------------------------------- vantage-point tree
@@ -144,64 +153,71 @@ def forest(points: np.ndarray, radius: int) -> np.ndarray:
 # ------------------------------------------------------------ distributed
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bit blocks: two near fingerprints agree in one."""
-    cut = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+def _masks(radius: int, agree: int) -> list[int]:
+    """Masks of ``agree`` of radius + agree bit blocks, as signed longs: two
+    fingerprints within the radius are equal under one of them at least."""
+    cut = [round(64 * i / (radius + agree)) for i in range(radius + agree + 1)]
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cut, cut[1:], strict=False)]
+    masks = [sum(c) for c in itertools.combinations(blocks, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _agreeing(n: int, radius: int) -> int:
+    """Blocks that must agree for shards of ``n`` random fingerprints to hold few."""
+    return next((m for m in range(1, 4) if n >> (64 * m // (radius + m)) <= SHARD_MEAN), 4)
 
 
 def _link_shards(radius: int):
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    """(b, v, s, fp) rows sorted by shard -> a spanning forest of each shard's near pairs."""
 
-        def solve(frame: pd.DataFrame) -> pd.DataFrame:
-            shard = frame[["b", "v", "s"]].to_numpy()
-            border = np.flatnonzero((shard[1:] != shard[:-1]).any(1)) + 1
-            fp = frame["fp"].to_numpy()
-            a, b = [], []
-            for lo, hi in zip(np.concatenate([[0], border]), np.concatenate([border, [len(fp)]]), strict=True):
-                if hi - lo < 2:
-                    continue
-                part = fp[lo:hi]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        a, b = [], []
+
+        def solve() -> None:
+            part = np.concatenate(held)
+            if len(part) > 1:
                 up = forest(part.view(np.uint64), radius)
                 linked = np.flatnonzero(up != np.arange(len(up)))
                 a.append(part[up[linked]])
                 b.append(part[linked])
-            none = np.zeros(0, np.int64)
-            return pd.DataFrame({"a": np.concatenate(a or [none]), "b": np.concatenate(b or [none])})
 
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            last = tuple(frame[["b", "v", "s"]].iloc[-1])
-            ends = (frame[["b", "v", "s"]].to_numpy() == np.array(last)).all(1)
-            whole = frame[~ends]
-            if len(whole):  # the shard at the end may go on in the next batch
-                yield solve(pd.concat([*held, whole]))
-                held = [frame[ends]]
-            elif held and tuple(held[-1][["b", "v", "s"]].iloc[-1]) != last:
-                yield solve(pd.concat(held))
-                held = [frame]
-            else:
-                held.append(frame)
+            shard = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            fp = batch.column(3).to_numpy()
+            border = np.flatnonzero((shard[1:] != shard[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *border.tolist()], [*border.tolist(), len(fp)], strict=True):
+                if here is not None and (shard[lo] != here).any():
+                    solve()
+                    held = []
+                here = shard[lo]
+                held.append(fp[lo:hi].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], names=["a", "b"])
+            a, b = [], []
         if held:
-            yield solve(pd.concat(held))
+            solve()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return scan
+    return tidy(scan)
 
 
-def near_links(prints: DataFrame, radius: int = 4, shard_limit: int = 200_000) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 4, shard_limit: int = 200_000, agree: int | None = None) -> DataFrame:
     """Distinct ``fp`` -> links (a, b), a spanning forest of each shard's exact pairs.
 
-    Shards come from vantage-point partitions on radius + 1 projections (blocks
-    of bits): two fingerprints within ``radius`` agree wholly in one block, where
-    the triangle bound then prunes every other shard. A shard over
-    ``shard_limit`` is split again into shells of distance from two vantage
-    points of its own; shells overlap by the radius at their borders, so each
-    pair still meets. Inside a shard a vantage-point tree finds the pairs.
+    Shards come from vantage-point partitions on projections: of radius + agree
+    blocks of bits, two fingerprints within ``radius`` share ``agree`` wholly, and
+    the triangle bound prunes every other shard of that choice of blocks. More
+    blocks agree where there are more fingerprints, so that a shard holds few
+    random ones: one up to about ten million fingerprints, two up to billions. A
+    shard over ``shard_limit`` is split again into shells of distance from two
+    vantage points of its own; shells overlap by the radius at their borders, so
+    each pair still meets. Inside a shard a vantage-point tree finds the pairs.
     """
     width = radius + 1
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << size) - 1)).cast("long").alias("v")) for i, (shift, size) in enumerate(_blocks(radius))]))
+    agree = _agreeing(prints.count(), radius) if agree is None else agree
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(_masks(radius, agree))]))
     dealt = prints.select("fp", cells.alias("c")).select("fp", "c.b", "c.v")
     large = dealt.groupBy("b", "v").agg(F.count("*").alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2")).where(F.col("n") > shard_limit)
     dealt = dealt.join(large, ["b", "v"], "left")
@@ -213,7 +229,7 @@ def near_links(prints: DataFrame, radius: int = 4, shard_limit: int = 200_000) -
     both = F.flatten(F.transform(shells("v1"), lambda x: F.transform(shells("v2"), lambda y: x * 100 + y)))
     dealt = dealt.select("fp", "b", "v", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(both)).alias("s"))
     dealt = dealt.repartition("b", "v", "s").sortWithinPartitions("b", "v", "s", "fp")
-    return dealt.select(F.col("b").cast("long"), "v", "s", "fp").mapInPandas(_link_shards(radius), "a long, b long")
+    return dealt.select(F.col("b").cast("long"), "v", "s", "fp").mapInArrow(_link_shards(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_limit: int = 200_000, keep: tuple[str, ...] = (), class_id: bool = False) -> DataFrame:
@@ -229,9 +245,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_li
     where ids are null or repeated. Other columns are ignored.
     """
     rows = stage(fingerprints(docs, shingle, keep))
-    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(prints.select("fp"), radius, shard_limit))
     classes = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "root").select("fp", "component_id", F.col("root").alias("class_id"))
-    return rows.join(named, "fp").select("doc_id", *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["class_id"] if class_id else []))
+    # A fingerprint may be that of very many copies, or of all texts without words.
+    out = join_many(rows, named, hot_keys(prints.select("fp", "n"), "fp"), "fp", "inner")
+    return out.select("doc_id", *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["class_id"] if class_id else []))

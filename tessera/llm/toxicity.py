@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import stage, utf8
+from .common import stage, tidy, utf8
 
 SIZES = (4, 6, 8)
 BITS = 20
@@ -134,7 +134,7 @@ def frequencies(rows: DataFrame) -> DataFrame:
             part = at[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(df[0][part].astype(np.int64)), pa.array(df[1][part].astype(np.int64))], names=["feature", "f0", "f1"])
 
-    found = rows.select("toxic", "body").mapInArrow(scan, "feature int, f0 long, f1 long")
+    found = rows.select("toxic", "body").mapInArrow(tidy(scan), "feature int, f0 long, f1 long")
     return found.groupBy("feature").agg(F.sum("f0").alias("f0"), F.sum("f1").alias("f1"))
 
 
@@ -219,5 +219,5 @@ def score(docs: DataFrame, model: ToxicityModel | None, keep: tuple[str, ...] =
 
     slim = docs.select(*[docs[c].alias(c) for c in keep], (fold(docs["doc_id"]) == 0).alias("_held"), *([] if own else [utf8(docs["text"]).alias("_body")]))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep) + 1])
-    out = slim.mapInArrow(scan, f"{kind}, _score double")
+    out = slim.mapInArrow(tidy(scan), f"{kind}, _score double")
     return out.select(*keep, F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))

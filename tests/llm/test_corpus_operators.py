@@ -41,12 +41,12 @@ def test_decontamination_tolerates_substitutions(spark):
     assert left.columns == ["doc_id", "text", "item_id", "n_equal"]
 
 
-def test_decontamination_in_blocks_and_empty(spark, monkeypatch):
+def test_decontamination_with_a_full_filter_and_empty(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(words(rng, 30))) for i in range(6)]
     rows = [(i, " ".join(words(rng, 20)) + " " + items[i % 6][1]) for i in range(12)]
     whole = sorted(decontaminate.overlaps(docs(spark, rows), bench(spark, items)).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 6)  # lets nearly everything pass
     assert sorted(decontaminate.overlaps(docs(spark, rows), bench(spark, items)).collect()) == whole and len(whole) == 12
     assert decontaminate.overlaps(docs(spark, []).limit(0), bench(spark, items)).count() == 0
     assert decontaminate.overlaps(docs(spark, rows), bench(spark, []).limit(0)).count() == 0
@@ -58,19 +58,55 @@ def test_verify_matches_brute_force():
         n = rng.randint(13, 40)
         a = [rng.choice("ab") for _ in range(n)]
         item, text = "".join(f"{x} " for x in a), "".join(f"{x if rng.random() < 0.8 else 'c'} " for x in a)
-        index = decontaminate.SeedIndex([(0, item.encode())])
-        raw = text.encode()
-        t = decontaminate.Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         equal = [x == y for x, y in zip(item.split(), text.split(), strict=True)]
         want = max((e - s for s in range(n) for e in range(s + 1, n + 1) if equal[s] and equal[e - 1] and sum(equal[s:e]) >= 0.8 * (e - s) - 1e-6), default=0)
-        got = index.verify(t, 0, 0, 0, 0.8, 13)
+        got = decontaminate.verify(decontaminate._tokens_of(text.encode()), decontaminate._tokens_of(item.encode()), 0, 0.8, 13)
         assert (got[1] if got else 0) == (want if want >= 13 else 0)
 
 
-def brute_nearest(ids, x, k):
+def brute_overlaps(rows, items):
+    """Longest stretch of every text and item over all diagonals, without seeds."""
+    out = {}
+    for d, text in rows:
+        a = decontaminate._tokens_of((text or "").encode())
+        for i, item in items:
+            b = decontaminate._tokens_of((item or "").encode())
+            found = [decontaminate.verify(a, b, k, 0.8, 13) for k in range(-len(b) + 1, len(a))]
+            best = max((f[1] for f in found if f), default=0)
+            if best:
+                out[d, i] = best
+    return out
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    rng = random.Random(30)
+    few = ["".join(rng.choice("abc") for _ in range(2)) for _ in range(3)]  # few words, so that chance matches abound
+    items = [(i, " ".join(rng.choices(few, k=rng.choice((3, 8, 13, 20, 40))))) for i in range(12)] + [(20, "one line of words " * 12), (21, None)]
+    rows = [(i, " ".join(rng.choices(few, k=rng.choice((2, 15, 60))))) for i in range(40)]
+    rows += [(50, "one line of words " * 200), (51, None), (52, ""), (53, "words of line one " * 30)]
+    for i in range(30):
+        w = items[i % 12][1].split()
+        for at in rng.sample(range(len(w)), len(w) // 6):
+            w[at] = "zz"
+        rows.append((100 + i, " ".join(rng.choices(few, k=5) + w + ["end"])))
+    got = {(r["doc_id"], r["item_id"]): r["n_tokens"] for r in decontaminate.overlaps(docs(spark, rows), bench(spark, items)).collect()}
+    want = brute_overlaps(rows, items)
+    assert got.keys() == want.keys() and len(want) > 100
+    # A longer stretch may lie on a diagonal without a seed only beyond 300 tokens.
+    assert got == want
+
+
+def test_decontamination_of_a_very_long_repetitive_text(spark):
+    line = "the same ten words come again and again in it "
+    rows = [(1, line * 6600), (2, "other words " * 10)]
+    got = decontaminate.overlaps(docs(spark, rows), bench(spark, [(7, line * 110)])).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_tokens"], r["n_equal"]) for r in got] == [(1, 7, 1100, 1100)]
+
+
+def brute_nearest(ids, x, k, every=100):
     out = {}
     for q, v in zip(ids, x, strict=True):
-        if q % 100 == 0:
+        if q % every == 0:
             d = sorted((float(np.sqrt(((v - y) ** 2).sum())), i) for i, y in zip(ids, x, strict=True) if i != q)
             out[q] = d[:k]
     return out
@@ -80,8 +116,9 @@ def test_neighbours_recall_and_scores(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
     ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
-    got = neighbours.nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))).collect()
-    want = brute_nearest(ids, x, 10)
+    got = neighbours.nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), every=8).collect()
+    want = brute_nearest(ids, x, 10, every=8)
+    assert len(want) >= 200
     hit = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & {i for _, i in d}) for q, d in want.items())
     assert hit >= 0.9 * 10 * len(want)
     place = {i: n for n, i in enumerate(ids)}
@@ -97,6 +134,9 @@ def test_neighbours_edges(spark):
     good = [(i, v) for i, v in rows[:300]]
     for q, d in brute_nearest([i for i, _ in good], np.array([v for _, v in good]), 10).items():
         assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == q] == [(i, s) for s, i in d]
+    assert [r["query_id"] for r in got if r["query_id"] >= 1000] == []  # 1200 is the only usable vector of its length
+    two = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (100, [1.0]), (3, [4.0])], "id long, vec array<float>")).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in two) == [(0, 1), (100, 3)]
     few = neighbours.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [0.5])], "id long, vec array<float>")).orderBy("rank").collect()
     assert [(r["vec_id"], r["rank"]) for r in few] == [(2, 1), (1, 2)]
     assert neighbours.nearest(df.limit(0)).count() == 0
@@ -138,7 +178,7 @@ def test_pfair_deviation_below_one_block():
 def test_mixing_order_and_horizon(spark):
     rows = [(i, "a" if i % 3 else None, 1) for i in range(600)] + [(7, "b", 1)] * 90 + [(None, "b", 1)]
     d = spark.createDataFrame(rows, "doc_id long, source string, mix_slot int")
-    got = mixing.mix(d, {"a": 0.5, None: 0.3, "b": 0.2}, block=4, bucket_rows=20).collect()
+    got = mixing.mix(d, {"a": 0.5, None: 0.3, "b": 0.2}, block=4, group_rows=20).collect()
     assert len(got) == len(rows)
     places = Counter((r["mix_slot"], r["mix_offset"]) for r in got)
     assert max(places.values()) == 1
@@ -158,12 +198,12 @@ def brute_shards(n, shards):
     return [p * shards // n for p in range(n)]
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 7])
-def test_sharding_matches_brute_force(spark, bucket_rows):
+@pytest.mark.parametrize("group_rows", [50_000, 7])
+def test_sharding_matches_brute_force(spark, group_rows):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").withColumn("shard", F.lit("x"))
     extra = spark.createDataFrame([(None, None, None, None, None, "x"), (3, "", "en", "s", -5, "x"), (3, "", "en", "s", -5, "x"), (4, "é", "en", "s", 2**60, "x")], d.schema)
     d = d.unionByName(extra)
-    got = sharding.shard(d, 40, bucket_rows=bucket_rows).collect()
+    got = sharding.shard(d, 40, group_rows=group_rows).collect()
     rows = d.collect()
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in rows)
     ordered = sorted(got, key=lambda r: (r["shard"], r["slot"]))
@@ -194,7 +234,6 @@ def test_curve_visits_neighbouring_cells():
 
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
-    from tests.llm.test_text_operators import brute_components, brute_fingerprint
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
@@ -205,9 +244,10 @@ def test_pipeline_stages(spark):
         if name != "sharding":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     before, after = kept["simhash_near_dedup"]
-    ids = [r["doc_id"] for r in before]
-    low = brute_components(ids, [brute_fingerprint(r["text"]) for r in before], 4)
-    assert sorted(r["doc_id"] for r in after) == sorted(set(low))
+    # The stage's rule: five-word shingles, similarity 0.8 or more.
+    before = sorted(before, key=lambda r: r["doc_id"])
+    groups, _ = similar_groups([r["text"] for r in before])
+    assert sorted(r["doc_id"] for r in after) == [before[i]["doc_id"] for i in sorted(set(groups))]
     before, after = kept["sharding"]
     assert len(before) == len(after) and {r["doc_id"] for r in before} == {r["doc_id"] for r in after}
     assert 0 < len(kept["toxicity"][1]) <= len(kept["toxicity"][0])
@@ -305,6 +345,36 @@ def test_near_copies_in_a_large_group(spark, limit):
     assert sorted(min(x) for x in classes.values()) == sorted(set(similar_groups(texts)[0]))
 
 
+@pytest.mark.parametrize("limit", [4, 1000])
+def test_links_of_a_crowded_bucket_connect_what_similar_pairs_connect(spark, limit):
+    from tessera.llm import components, shingles
+
+    rng = random.Random(15)
+    sets = []
+    for size in (30, 14, 9, 3, 1, 1, 1):  # classes of near copies and single texts, all in one bucket
+        base = rng.sample(range(1, 1 << 30), 60)
+        for _ in range(size):
+            copy = list(base)
+            copy[rng.randrange(60)] = rng.randrange(1 << 30)
+            sets.append(np.unique(np.array(copy, dtype="<u4")))
+    order = list(range(len(sets)))
+    rng.shuffle(order)
+    rows = spark.createDataFrame([(i, sets[j].tobytes()) for i, j in enumerate(order)], "node long, shingles binary")
+    links = shingles.similar_links(rows, rows.select("node", F.lit(7).cast("long").alias("key")), 0.8, limit)
+    for r in links.collect():
+        a, b = set(sets[order[r["a"]]].tolist()), set(sets[order[r["b"]]].tolist())
+        assert len(a & b) / len(a | b) >= 0.8
+    found = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    want = {}
+    for i, j in enumerate(order):
+        mates = [k for k, x in enumerate(order) if len(np.intersect1d(sets[j], sets[x])) / len(np.union1d(sets[j], sets[x])) >= 0.8]
+        want[i] = mates
+    for i, mates in want.items():
+        for k in mates:
+            assert found.get(i, i) == found.get(k, k)
+    assert len({found.get(i, i) for i in want}) == 7
+
+
 def substitutions(n):
     """Every pattern of equal tokens with four fifths equal, both ends among them."""
     for k in range(int(0.2 * n + 1e-9) + 1):
