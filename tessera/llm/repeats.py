@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import stage, utf8
+from .common import hot_keys, join_many, stage, tidy, utf8
 
 GRAM = 48
 SEPARATOR, SENTINEL = 0xFF, 0xFE  # bytes that UTF-8 never uses
@@ -76,10 +76,9 @@ class RunLengthIndex:
         head = np.ones(len(sa), dtype=bool)
         head[1:] = bwt[1:] != bwt[:-1]
         tail = np.append(head[1:], True)
-        self.heads = np.flatnonzero(head)
-        self.symbols = bwt[self.heads]
+        heads = np.flatnonzero(head)
         # What the samples at run ends give: a position and its neighbour in suffix order.
-        up, down = self.heads[self.heads > 0], np.flatnonzero(tail[:-1])
+        up, down = heads[heads > 0], np.flatnonzero(tail[:-1])
         self.before = (sa[up], sa[up - 1])
         self.after = (sa[down], sa[down + 1])
         self.ends = (int(sa[0]), int(sa[-1]))
@@ -297,22 +296,24 @@ def remove_repeats(docs: DataFrame, width: int = 200, block_bytes: int = BLOCK_B
         F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("tk"),
         utf8(docs["text"]).alias("body"),
     )
-    every = body.select("k0", "tk", "body").mapInArrow(anchors_of(width), ANCHORS)
-    often = every.groupBy("akey").agg(F.count("*").alias("c"), F.min("skey").alias("s0"), F.max("skey").alias("s1")).where("c > 1")
-    seen = stage(every.join(often.select("akey", (F.col("s0") != F.col("s1")).alias("mixed")), "akey"))
+    every = body.select("k0", "tk", "body").mapInArrow(tidy(anchors_of(width)), ANCHORS)
+    often = every.groupBy("akey").agg(F.count("*").alias("n"), F.min("skey").alias("s0"), F.max("skey").alias("s1")).where("n > 1")
+    often = stage(often.select("akey", "n", (F.col("s0") != F.col("s1")).alias("mixed")))
+    # A passage that most texts share has one anchor: its rows go to many tasks.
+    seen = stage(join_many(every, often.select("akey", "mixed"), hot_keys(often.select("akey", "n"), "akey"), "akey", "inner"))
 
     # One place where each distinct stretch of a mixed anchor can be read, and how often it occurs.
     distinct = seen.where("mixed").groupBy("akey", "skey").agg(F.count("*").alias("m"), F.min(F.struct("k0", "tk", "lo", "n")).alias("p"))
     distinct = stage(distinct.select("akey", "skey", "m", "p.*"))
     wanted = distinct.groupBy("k0", "tk").agg(F.collect_list(F.struct("akey", "skey", "m", "lo", "n")).alias("wanted"))
-    text = body.select("k0", "tk", "body").join(wanted, ["k0", "tk"]).select("body", "wanted").mapInArrow(_cut_stretches(width), "akey long, skey long, m long, text binary")
+    text = body.select("k0", "tk", "body").join(wanted, ["k0", "tk"]).select("body", "wanted").mapInArrow(tidy(_cut_stretches(width)), "akey long, skey long, m long, text binary")
     busy = distinct.groupBy("akey").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowded)
     text = stage(text.join(busy.withColumn("busy", F.lit(True)), "akey", "left").select("akey", "skey", "m", "text", F.coalesce("busy", F.lit(False)).alias("busy")))
     text = text.dropDuplicates(["akey", "skey"])  # rows repeated in the input give a stretch twice
 
     few = text.where("not busy").select("akey", "skey", "m", "text")
-    runs = few.repartition("akey").sortWithinPartitions("akey").mapInArrow(_match_blocks(width, block_bytes), "akey long, skey long, runs array<int>")
-    windows = text.where("busy").select("akey", "skey", "m", "text").mapInArrow(_window_keys(width), "akey long, skey long, m long, at int, w1 long, w2 long")
+    runs = few.repartition("akey").sortWithinPartitions("akey").mapInArrow(tidy(_match_blocks(width, block_bytes)), "akey long, skey long, runs array<int>")
+    windows = text.where("busy").select("akey", "skey", "m", "text").mapInArrow(tidy(_window_keys(width)), "akey long, skey long, m long, at int, w1 long, w2 long")
     twice = windows.groupBy("w1", "w2").agg(F.sum("m").alias("c")).where("c > 1").select("w1", "w2")
     crowd = windows.join(twice, ["w1", "w2"]).select("akey", "skey", F.array("at", F.col("at") + width).alias("runs"))
 
@@ -323,4 +324,4 @@ def remove_repeats(docs: DataFrame, width: int = 200, block_bytes: int = BLOCK_B
     spans = same.unionByName(mixed).distinct().groupBy("k0", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     done = body.join(spans, ["k0", "tk"], "left").select("doc_id", "body", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return done.mapInArrow(_finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>")
+    return done.mapInArrow(tidy(_finish), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>")
