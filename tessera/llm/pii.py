@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # The base patterns and their kinds in report order.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match never begins inside a run of digits
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -34,21 +36,33 @@ CANDIDATES = (
     ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])")),
     ("person", re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?")),
 )
-KINDS = (*BASE_KINDS, *(k for k, _ in CANDIDATES))
+# Inside the runs that fail a base test (two values side by side are one run).
+NUMBER = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9])")
+DIALLED = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}(?![0-9]|[.][0-9])")
+KINDS = (*BASE_KINDS, *(k for k, _ in CANDIDATES), "card_number", "dialled")
 CUES = {
     "mail_text": ("mail", "contact", "reach", "write"),
     "local_phone": ("tel", "phone", "call", "fax", "mobile", "cell"),
     "national_id": ("ssn", "social", "security", "id"),
     "iban": ("iban", "bank", "account", "konto", "compte"),
     "person": ("name", "dear", "from", "by", "with", "contact"),
+    "card_number": ("card", "visa", "credit", "debit", "amex", "master"),
+    "dialled": ("tel", "phone", "call", "fax", "mobile", "cell"),
 }
+# First digits of payment cards by length, and country calling codes.
+ISSUERS = {13: ("4",), 14: ("36", "38", "39"), 15: ("34", "37"), 16: ("4", "51", "52", "53", "54", "55", "6011", "65", "35"), 19: ("4",)}
+COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420")
 GAZETTEER = {
     "mail_text": ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk"),
     "iban": ("DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH", "PT"),
     "person": ("Smith", "Jones", "Miller", "Brown", "Garcia", "Martin", "Schmidt", "Mueller", "Dubois", "Lopez"),
 }
+BEFORE = re.compile(r"(?:[0-9]\.[0-9]{1,3}|[0-9]{3}[\x20.-][0-9]{4}|@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|[0-9]{13,19})\x20$")
+AFTER = re.compile(r"\x20(?:\+[0-9]{1,3}\x20|[0-9]{1,3}\.[0-9]{1,3}\.|[0-9]{9,})")
 LABELERS = ("format", "gazetteer", "context", "counter")
 ABSTAIN = 2
+# How likely each labeler says yes, no or nothing: of what is not personal, of what is.
+BELIEF = np.array([[[0.10, 0.75, 0.15], [0.30, 0.40, 0.30], [0.15, 0.05, 0.80], [0.05, 0.35, 0.60]], [[0.80, 0.05, 0.15], [0.60, 0.10, 0.30], [0.40, 0.02, 0.58], [0.02, 0.05, 0.93]]])
 
 Span = tuple[str, int, int]
 
@@ -61,7 +75,7 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _emails(text: str) -> Iterator[Span]:
+def emails(text: str) -> Iterator[tuple[int, int]]:
     """The same matches as EMAIL.finditer, found from the at signs."""
     done, at = 0, text.find("@")
     while at >= 0:
@@ -71,33 +85,50 @@ def _emails(text: str) -> Iterator[Span]:
         m = EMAIL.match(text, start) if start < at else None
         if m:
             done = m.end()
-            yield ("email", start, done)
+            yield start, done
         at = text.find("@", max(done, at + 1))
 
 
-def base_spans(text: str) -> list[Span]:
-    """Leftmost non-overlapping matches of each base pattern that pass its test."""
-    out = list(_emails(text))
+def scan_base(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
+    """Leftmost non-overlapping matches of each base pattern that pass its test,
+    and the card and phone matches that fail theirs."""
+    out: list[Span] = [("email", s, e) for s, e in emails(text)]
+    failed = []
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
-        if m.end() - m.start() >= 14:
+        if m.end() - m.start() >= 13:
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 out.append(("card", *m.span()))
+            else:
+                failed.append(m.span())
     if "+" in text:
         for m in PHONE.finditer(text):
             if 10 <= sum(map(str.isdigit, m.group())) <= 15:
                 out.append(("phone", *m.span()))
-    return out
+            else:
+                failed.append(m.span())
+    return out, failed
 
 
-def candidates(text: str, taken: list[Span]) -> list[Span]:
-    """Wide matches that touch no base span and no earlier candidate."""
-    found = sorted((m.start(), m.end(), kind) for kind, pattern in CANDIDATES for m in pattern.finditer(text))
+def base_spans(text: str) -> list[Span]:
+    return scan_base(text)[0]
+
+
+def candidates(text: str, taken: list[Span], failed: list[tuple[int, int]]) -> list[Span]:
+    """Wide matches, and numbers inside failed runs, that touch no base span and
+    no earlier candidate."""
+    found = [(m.start(), m.end(), kind) for kind, pattern in CANDIDATES for m in pattern.finditer(text)]
+    for lo, hi in failed:
+        found += [(m.start(), m.end(), "card_number") for m in NUMBER.finditer(text, lo, hi)]
+        if text[lo] == "+":
+            m = DIALLED.match(text, lo, hi)
+            found += [(*m.span(), "dialled")] if m else []
     if not found:
         return []
+    found = sorted(set(found))
     busy, out, i, last = sorted((s, e) for _, s, e in taken), [], 0, -1
     edge = 0
     for s, e, kind in found:
@@ -118,7 +149,6 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     fmt, gaz = ABSTAIN, ABSTAIN
     if kind == "local_phone":
         fmt = int(digits[0] not in "01" and digits[3] not in "01")
-        gaz = int(digits[0] == "8" and digits[1] == digits[2]) and 0 if digits[0] in "01" else ABSTAIN
     elif kind == "national_id":
         fmt = int(digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000")
     elif kind == "iban":
@@ -129,13 +159,25 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     elif kind == "mail_text":
         fmt = int("(" in value or "[" in value)
         gaz = int(re.split(r"[^A-Za-z]+", value)[-1].lower() in GAZETTEER[kind])
+    elif kind == "card_number":
+        fmt = int(luhn(digits))
+        gaz = int(digits.startswith(ISSUERS.get(len(digits), ("none",))))
+    elif kind == "dialled":
+        fmt = int(10 <= len(digits) <= 15 and not re.search(r"[(\x20.-][01]", value[2:5]))
+        gaz = int(re.match(r"\+([0-9]+)", value).group(1).startswith(COUNTRIES))
     elif kind == "person":
         gaz = int(value.split()[-1] in GAZETTEER[kind]) or ABSTAIN
         fmt = 1 if value.count(" ") == 2 else ABSTAIN
     low = before.lower()
     context = 1 if any(c in low for c in CUES[kind]) else ABSTAIN
-    numbers = sum(c.isdigit() for c in before[-15:] + after)
-    counter = 0 if numbers >= 8 or re.search(r"[$€%=/#]\x20?$", before) else ABSTAIN
+    if kind in ("card_number", "dialled"):
+        # Beside another value of the kind people leave together; or part of a word.
+        beside = BEFORE.search(before) or AFTER.match(after)
+        context = 1 if beside else context
+        counter = 0 if before[-1:].isalnum() or after[:1].isalnum() else ABSTAIN
+    else:
+        numbers = sum(c.isdigit() for c in before[-15:] + after)
+        counter = 0 if numbers >= 8 or re.search(r"[$€%=/#]\x20?$", before) else ABSTAIN
     return fmt, gaz, context, counter
 
 
@@ -151,24 +193,31 @@ def features(text: str, span: Span) -> tuple[int, ...]:
     return KINDS.index(kind), size, cue, colon, open_ended, crowded, *votes(text, span)[:2]
 
 
-def fit_reliability(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
+def fit_reliability(patterns: np.ndarray, counts: np.ndarray, groups: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
     """Posterior of "personal" for each vote pattern, by EM over labeler reliabilities.
 
-    patterns: (n, labelers) votes, counts: rows each stands for. Each labeler
-    votes rightly with its own probability given the class; abstentions carry no
-    evidence. Starts from the share of positive votes.
+    patterns: (n, labelers) votes, counts: rows each stands for, groups: the kind of
+    each pattern. For every kind each labeler has its own probability of saying yes,
+    no or nothing, given the class; BELIEF is where they start, and weighs as much
+    as ten rows and a quarter of the kind's rows, so that the classes keep their
+    meaning where labelers seldom disagree.
     """
-    said = patterns != ABSTAIN
-    yes = patterns == 1
-    p = (1 + (yes & said).sum(1)) / (2.0 + said.sum(1))
-    for _ in range(rounds):
-        w1, w0 = counts * p, counts * (1 - p)
-        prior = np.clip((w1.sum() + 1) / (counts.sum() + 2), 0.02, 0.98)
-        hit = ((w1[:, None] * (yes & said)).sum(0) + 8) / ((w1[:, None] * said).sum(0) + 10)
-        alarm = ((w0[:, None] * (yes & said)).sum(0) + 2) / ((w0[:, None] * said).sum(0) + 10)
-        odds = np.log(prior / (1 - prior)) + (said * np.where(yes, np.log(hit / alarm), np.log((1 - hit) / (1 - alarm)))).sum(1)
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return p
+    groups = np.zeros(len(patterns), dtype=int) if groups is None else groups
+    said = np.stack([patterns == v for v in (1, 0, ABSTAIN)], 2).astype(float)  # pattern, labeler, vote
+    out = np.zeros(len(patterns))
+    for g in np.unique(groups):
+        at = groups == g
+        v, n = said[at], counts[at]
+        weight = 10 + n.sum() / 4
+        prior, chance = 0.5, BELIEF
+        for _ in range(rounds):
+            odds = np.log(prior / (1 - prior)) + (v * np.log(chance[1] / chance[0])).sum((1, 2))
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            prior = float(np.clip(((n * p).sum() + 5) / (n.sum() + 10), 0.02, 0.98))
+            seen = np.stack([((n * w)[:, None, None] * v).sum(0) for w in (1 - p, p)])
+            chance = (seen + weight * BELIEF) / (seen.sum(2, keepdims=True) + weight)
+        out[at] = p
+    return out
 
 
 def _expand(f: np.ndarray) -> np.ndarray:
@@ -218,17 +267,17 @@ def train(docs: DataFrame) -> SpanModel | None:
             seen: dict[tuple[int, ...], int] = {}
             for value in batch.column(0):
                 text = value.as_py() or ""
-                for span in candidates(text, base_spans(text)):
+                for span in candidates(text, *scan_base(text)):
                     key = (*features(text, span), *votes(text, span))
                     seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
 
-    rows = docs.select("text").mapInArrow(scan, "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
+    rows = docs.select("text").mapInArrow(tidy(scan), "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
     if not rows:
         return None
     keys, counts = np.array([r["key"] for r in rows]), np.array([r["n"] for r in rows], dtype=float)
     f, v = keys[:, : -len(LABELERS)], keys[:, -len(LABELERS) :]
-    return SpanModel(fit_classifier(f, fit_reliability(v, counts), counts))
+    return SpanModel(fit_classifier(f, fit_reliability(v, counts, f[:, 0]), counts))
 
 
 def joined(spans: list[Span]) -> str:
@@ -241,8 +290,9 @@ def find_personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataF
 
     Without ``model`` one is trained on the table first (two scans). Null and
     empty texts have no spans. Offsets are code points, ends exclusive. Repeated
-    and null doc_ids are kept; other columns are ignored. A table without any
-    candidate reports the base spans alone.
+    and null doc_ids are kept; other columns are ignored; an empty table gives an
+    empty result. A table without any candidate reports the base spans alone. Each
+    text is scanned whole, in time linear in its length but for sorting.
     """
     model = model or train(docs)
 
@@ -259,8 +309,8 @@ def find_personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataF
             rows: list[tuple] = []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                base = base_spans(text)
-                more = [x for x in candidates(text, base) if keeps(text, x)]
+                base, failed = scan_base(text)
+                more = [x for x in candidates(text, base, failed) if keeps(text, x)]
                 n = [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
                 rows.append((*n, len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
@@ -268,4 +318,4 @@ def find_personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")

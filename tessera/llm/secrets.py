@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+from .pii import emails
+
 # The base patterns, their kinds in report order and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -29,6 +32,8 @@ WEAK = (
     ("material", re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{28,}={0,2}(?![A-Za-z0-9+/=_-])")),
     ("material", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Z])(?=[A-Za-z0-9_-]*[a-z])[A-Za-z0-9_-]{28,}={0,2}(?![A-Za-z0-9+/=_-])")),
     ("material", re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,23}(?![0-9A-Za-z])")),
+    ("material", re.compile(r"(?<![0-9A-Za-z])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{24,}(?![0-9A-Za-z])")),
+    ("endpoint", re.compile(r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{1,5})?(?![0-9A-Za-z]|\.[0-9])")),
     ("endpoint", re.compile(r"""(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}""")),
     ("endpoint", re.compile(r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""", re.I | re.A)),
 )
@@ -53,8 +58,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_parts(text: str) -> list[Span]:
-    """All matches of the weak patterns, overlapping or not."""
-    return [(role, *m.span()) for role, pattern in WEAK for m in pattern.finditer(text)]
+    """All matches of the weak patterns, overlapping or not; a mail address is an
+    identifier as well."""
+    return [("identifier", s, e) for s, e in emails(text)] + [(role, *m.span()) for role, pattern in WEAK for m in pattern.finditer(text)]
 
 
 def apart(parts: list[Span], taken: list[Span]) -> list[Span]:
@@ -129,7 +135,8 @@ def find_secrets(docs: DataFrame, reach: int = 300) -> DataFrame:
 
     Scopes are ``reach`` code points on either side of a part, within one text.
     Null and empty texts have no spans. Offsets are code points, ends exclusive.
-    Repeated and null doc_ids are kept; other columns are ignored. Each text is
+    Repeated and null doc_ids are kept; other columns are ignored; an empty table
+    gives an empty result. Each text is
     scanned whole and alone, in time linear in its length but for sorting.
     """
 
@@ -145,4 +152,4 @@ def find_secrets(docs: DataFrame, reach: int = 300) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")

@@ -134,9 +134,7 @@ def test_links_connect_every_pair_whatever_blocks_agree(spark, agree):
         points = points ^ (np.uint64(1) << rng.integers(0, 64, len(points)).astype(np.uint64))
     points = np.unique(points)
     prints = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
-    links = simhash.near_links(prints, 4, agree=agree)
-    for r in links.collect():
-        assert ((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4
+    links = simhash.near_links(prints, 4, agree=agree)  # a forest: its links connect, but need not be pairs
     root = {r["node"]: r["root"] for r in connected_components(links).collect()}
     found = [root.get(int(x), int(x)) for x in points.view(np.int64)]
     want = brute_components(list(range(len(points))), [int(x) for x in points], 4)
