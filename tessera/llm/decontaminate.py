@@ -89,22 +89,17 @@ def plan_masks(sizes: list[int], share: float, least: int) -> list[tuple[str, in
     return masks + [(m, n) for n in sorted({n for n in sizes if 0 < n < least}) for m in whole_masks(n, share)]
 
 
-def windows(t: Tokens, mask: str, number: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, hashes of the windows one token before) of a mask."""
+def windows(t: Tokens, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of a mask's windows; masks have hashes of their own."""
     at, h = t.seeds(mask)
-    h = bs.mix(h + np.uint64(number + 1) * np.uint64(0xD1342543DE82EF95))
-    before = np.full(len(h), edge, dtype=np.uint64)
-    if len(h) > 1:
-        goes_on = (at[1:] == at[:-1] + 1) & (t.rows[at[1:]] == t.rows[at[:-1]])
-        before[1:][goes_on] = h[:-1][goes_on]
-    return at, h, before
+    return at, h ^ np.uint64((number + 1) * 0xD1342543DE82EF95 % 2**64)
 
 
-def places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """The filter's bits of each hash."""
-    low, step, all_of = h, (h >> np.uint64(32)) | np.uint64(1), np.uint64((1 << bits) - 1)
-    for j in range(PROBES):
-        yield (low + np.uint64(j) * step) & all_of
+def before(t: Tokens, at: np.ndarray, h: np.ndarray, chosen: np.ndarray, edge: int) -> np.ndarray:
+    """For chosen windows the hash of the one a token earlier in the same text, or ``edge``."""
+    last = np.maximum(chosen - 1, 0)
+    goes_on = (chosen > 0) & (at[last] == at[chosen] - 1) & (t.rows[at[last]] == t.rows[at[chosen]])
+    return np.where(goes_on, h[last], np.uint64(edge))
 
 
 class BitFilter:
@@ -118,10 +113,13 @@ class BitFilter:
         self.packed = full.view(np.uint8)
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(h), dtype=bool)
-        for i in places(h, self.bits):
-            ok &= (self.packed[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return ok
+        """Numbers of the hashes whose bits are all set; few are left after the first bit."""
+        left, all_of = np.arange(len(h)), np.uint64((1 << self.bits) - 1)
+        for j in range(PROBES):
+            some = h[left]
+            i = (some + np.uint64(j) * ((some >> np.uint64(32)) | np.uint64(1))) & all_of if j else some & all_of
+            left = left[(self.packed[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return left
 
 
 def verify(a: np.ndarray, b: np.ndarray, diagonal: int, share: float, least: int) -> tuple[int, int, int] | None:
@@ -185,14 +183,14 @@ def _text_seeds(masks: list[tuple[str, int]], held):
                 n = len(t.first) - 1
                 rows, cols = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(3)]
                 for number, (mask, _) in enumerate(masks):
-                    at, h, before = windows(t, mask, number, TEXT_EDGE)
-                    ok = np.flatnonzero(held.value.may_hold(h))
+                    at, h = windows(t, mask, number)
+                    ok = held.value.may_hold(h)
                     if "0" not in mask and len(mask) < 6 and len(ok):  # a short item, whole: its first place in a text is enough
                         pairs = np.stack([t.rows[at[ok]].astype(np.uint64), h[ok]], 1)
                         ok = ok[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
-                    at = at[ok]
+                    last, at = before(t, at, h, ok, TEXT_EDGE), at[ok]
                     rows.append(t.rows[at])
-                    for c, v in zip(cols, (h[ok], before[ok], (at - t.first[t.rows[at]]).astype(np.uint64)), strict=True):
+                    for c, v in zip(cols, (h[ok], last, (at - t.first[t.rows[at]]).astype(np.uint64)), strict=True):
                         c.append(v)
                 lists = _seed_lists(np.concatenate(rows), n, [np.concatenate(c) for c in cols])
                 some = pa.array(np.flatnonzero(np.diff(lists.offsets.to_numpy())))
@@ -210,10 +208,10 @@ def _item_seeds(masks: list[tuple[str, int]], least: int):
                 n, size = len(t.first) - 1, np.diff(t.first)
                 rows, cols = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(3)]
                 for number, (mask, of) in enumerate(masks):
-                    at, h, before = windows(t, mask, number, ITEM_EDGE)
+                    at, h = windows(t, mask, number)
                     ok = np.flatnonzero(size[t.rows[at]] == of if of else size[t.rows[at]] >= least)
                     rows.append(t.rows[at[ok]])
-                    for c, v in zip(cols, (h[ok], before[ok], (at[ok] - t.first[t.rows[at[ok]]]).astype(np.uint64)), strict=True):
+                    for c, v in zip(cols, (h[ok], before(t, at, h, ok, ITEM_EDGE), (at[ok] - t.first[t.rows[at[ok]]]).astype(np.uint64)), strict=True):
                         c.append(v)
                 lists = _seed_lists(np.concatenate(rows), n, [np.concatenate(c) for c in cols])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), lists], names=["item_id", "ik", "seeds"])
