@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import hot_keys, join_many, stage, tidy, utf8
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648
 CRLF = "\r\n"
@@ -32,11 +32,18 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def describe(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Slim record table: page_id, url, digests, record type and what it refers to."""
+    """Slim record table: page_id, url, digests, record type and what it refers to.
+
+    Null html is an empty payload, as long as any; payloads of every length are
+    digested whole. Of rows that repeat page_id and payload each is a response or
+    refers to the smaller page_id. Other columns are ignored; an empty table gives
+    an empty result.
+    """
     body = utf8(pages["html"])
     slim = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("sha256"), F.sha1(body).alias("sha1"))
-    first = slim.where(F.col("payload_bytes") >= min_bytes).groupBy("sha256").agg(F.min("page_id").alias("first_id"))
-    slim = slim.join(first, "sha256", "left")
+    first = stage(slim.where(F.col("payload_bytes") >= min_bytes).groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    # Very many pages may have one payload, the empty one for a start.
+    slim = join_many(slim, first.drop("n"), hot_keys(first.select("sha256", "n"), "sha256"), "sha256")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return slim.select("page_id", "url", "payload_bytes", "sha256", base32_of_hex(F.col("sha1")).alias("payload_digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
@@ -44,7 +51,7 @@ def describe(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def header_block(r: DataFrame) -> Column:
     """The record's header lines, CRLF-ended, with the empty line that closes them."""
     number = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    clean = F.regexp_replace(F.coalesce(r["url"], F.lit("")), "[\\r\\n]", "%0A")
+    clean = F.replace(F.replace(F.coalesce(r["url"], F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = r["record_type"] == "revisit"
     lines = [
         F.concat(F.lit("WARC/1.1"), F.lit(CRLF), F.lit("WARC-Type: "), r["record_type"]),
@@ -63,10 +70,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write ``path``/headers (one row per page) and ``path``/payloads (one per digest).
 
     Null html is an empty payload. Pages with equal page_id and html keep one
-    record each. A null page_id gets a record without a number in its name.
+    record each. A null page_id gets a record without a number in its name. The
+    headers' table keeps the url as it was given; in the header line itself line
+    ends are percent-encoded. Other columns are ignored.
     """
     records = describe(pages, min_bytes)
-    records.select("page_id", "sha256", header_block(records).alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
+    records.select("page_id", "url", "sha256", header_block(records).alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
     stored = utf8(pages["html"])
     pages.select(F.sha2(stored, 256).alias("sha256"), stored.alias("payload")).dropDuplicates(["sha256"]).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
@@ -93,8 +102,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     field = lambda name: F.regexp_extract("header", f"(?:^|\r\n){name}: ([^\r]*)\r\n", 1)
     kind = dict(h.dtypes)["page_id"]
     return h.select(
-        "page_id", "sha256", "header",
-        field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("url"),
+        "page_id", "url", "sha256", "header",
+        field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target_uri"),
         F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("header_digest"),
         F.nullif(F.nullif(F.regexp_extract(field("WARC-Refers-To"), "^<urn:page:(.*)>$", 1), F.lit("")), F.lit("none")).cast(kind).alias("refers_to"),
         field("Content-Length").cast("long").alias("content_length"),
@@ -104,10 +113,12 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Sizes and digests are those of the stored payload bytes, verified.
+    Sizes and digests are those of the stored payload bytes, verified. An empty
+    archive gives an empty result.
     """
-    checked = spark.read.parquet(f"{path}/payloads").select("sha256", "payload").mapInArrow(_verify, "sha256 string, payload_bytes long, payload_digest string")
-    joined = read_headers(spark, path).join(checked, "sha256", "left")
+    checked = spark.read.parquet(f"{path}/payloads").select("sha256", "payload").mapInArrow(tidy(_verify), "sha256 string, payload_bytes long, payload_digest string")
+    headers = read_headers(spark, path)
+    joined = join_many(headers, checked, hot_keys(headers.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")), "sha256"), "sha256")
     broken = F.col("payload_digest").isNull() | (F.col("payload_digest") != F.col("header_digest"))
     good = F.when(broken, F.raise_error(F.concat(F.lit("no verified payload for "), F.col("sha256")))).otherwise(F.col("payload_digest"))
     return joined.select("page_id", "payload_bytes", good.alias("payload_digest"), "record_type", "refers_to", "url", "sha256", "header")
@@ -122,7 +133,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_warc(spark: SparkSession, path: str, to: str) -> None:
-    """Plain WARC files: the text writer adds the last line feed of each record."""
+    """Plain WARC files: the text writer adds the last line feed of each record.
+
+    Records of every length are written whole; an empty archive gives files
+    without records. Payloads must be UTF-8, as those of ``write_archive`` are.
+    """
     r = read_records(spark, path)
     text = F.decode(r["record"], "UTF-8")
     r.select(text.substr(F.lit(1), F.length(text) - 1).alias("value")).write.mode("overwrite").text(to)
