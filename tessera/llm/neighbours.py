@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tidy
 
 BUCKET_LIMIT = 20_000
 BLOCK_QUERIES = 256
+MAX_LENGTHS = 16
 
 
 class PStableHash:
@@ -138,18 +140,27 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = 10,
     one index entry with its k + 1 smallest ids, which is all that ties can need,
     so a vector that very many rows share costs one distance. Buckets over
     ``bucket_limit`` are dealt over several tasks. Queries that find fewer than
-    ``k`` rows are searched again exactly, against all rows, in blocks. Vectors
-    of other lengths than the commonest take no part; nor do rows without an id.
-    Rows that repeat an id and vector count once.
+    ``k`` rows are searched again exactly, against all rows, in blocks. A distance
+    is between vectors of one length: those of each length are searched among
+    themselves (more than MAX_LENGTHS lengths raise an error). Rows without an id
+    take no part. Rows that repeat an id and vector count once; other columns are
+    ignored, and an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     good = usable(vectors.select(F.col("id").cast("long").alias("id"), F.col("vec")))
-    dims = good.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not dims:
-        return empty
-    dim = dims[0]["dim"]
-    good = good.where(F.size("vec") == dim).select("id", F.col("vec").cast("array<double>").alias("vec")).distinct()
+    lengths = [r["dim"] for r in good.select(F.size("vec").alias("dim")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    each = [_nearest(good.where(F.size("vec") == dim).select("id", vec).distinct(), every, k, tables, hashes, probes, spread, sample, bucket_limit) for dim in sorted(lengths)]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def _nearest(good: DataFrame, every: int, k: int, tables: int, hashes: int, probes: int, spread: float, sample: int, bucket_limit: int) -> DataFrame:
+    """``nearest`` for distinct (id, vec) rows of one length."""
+    spark = good.sparkSession
     picked = good.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     hasher = spark.sparkContext.broadcast(fit(np.array([r["vec"] for r in picked]), tables, hashes, spread))
 
@@ -183,7 +194,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = 10,
     left = points.join(large, ["t", "key"], "left").join(entries, "ref").select("t", "key", F.pmod(F.xxhash64("ref"), parts).alias("salt"), F.lit(0).cast("long").alias("role"), "ref", "ids", "vec")
     right = asked.join(large, ["t", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).join(queries.select(F.col("id").alias("ref"), "vec"), "ref").select("t", "key", "salt", F.lit(1).cast("long").alias("role"), "ref", F.array().cast("array<long>").alias("ids"), "vec")
     both = left.unionByName(right).repartition("t", "key", "salt").sortWithinPartitions("t", "key", "salt", "role")
-    found = stage(both.mapInArrow(_search_buckets(k), _OUT))
+    found = stage(both.mapInArrow(tidy(_search_buckets(k)), _OUT))
 
     def ranked(hits: DataFrame) -> DataFrame:
         flat = hits.select("query_id", F.explode("ids").alias("vec_id"), "dist").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("dist").alias("score"))
