@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, sharding, shingles, toxicity
-from tessera.llm.common import pick, stage, table
+from tessera.llm.common import in_order, pick, stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,15 +54,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Until a source runs out every prefix holds the target weights to within a
     block. From then on its slots are empty and are passed over, so the sources
-    left share the order by their weights; none of their rows is held back.
+    left share the order by their weights; none of their rows is held back. The
+    files keep the order; sharding takes each row's place from them.
     """
     mixed = mixing.mix(pick(docs, *COLUMNS), columns=COLUMNS)
     return mixed.orderBy(F.col("mix_slot").asc_nulls_last(), "mix_offset").select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and slot along the Hilbert curve."""
-    return sharding.shard(pick(docs, *COLUMNS), 40, keep=COLUMNS)
+    """Every document with its shard along the Hilbert curve, and its place in the mixture.
+
+    mix_place is the document's number in the order in which mixing wrote them, from
+    0 without gaps; the slots of a shard follow it. So a reader that takes, of all
+    shards, the document that comes next reads the mixture, and one of some
+    shards reads what they hold of it in its order.
+    """
+    return sharding.shard(in_order(docs, "mix_place", *COLUMNS), 40, keep=COLUMNS, place="mix_place")
 
 
 STAGES = [

@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize, shared_dir
@@ -36,6 +36,25 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"].alias(n) for n in names])
 
 
+def in_order(df: DataFrame, place: str, *names: str) -> DataFrame:
+    """The named columns and ``place``, the row's number in the order of ``df``, from 0 without gaps.
+
+    Spark's writers number their files in the order of the rows, so the place is
+    the row's index in its file behind all earlier files; no row is shuffled. Only
+    a plain scan of Parquet files has such indexes for just its rows: a ``df`` of
+    other origin is written and read again first. One task orders the files, a row each.
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None or not plan.queryExecution().analyzed().children().isEmpty() or not df.inputFiles():
+        df = stage(df)
+    meta = df.metadataColumn("_metadata")
+    held = df.select(*[df[f"`{n}`"].alias(n) for n in names], meta["file_path"].alias("_file"), meta["row_index"].alias("_at"))
+    number = lambda rule: F.coalesce(F.regexp_extract("_file", rule, 1).try_cast("long"), F.lit(0))
+    before = Window.orderBy(number(r"/part-(\d+)[^/]*$"), number(r"-c(\d+)[^/]*$"), "_file")
+    files = held.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
+    return held.join(F.broadcast(files), "_file").select(*names, (F.col("_start") + F.col("_at")).alias(place))
+
+
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a string column, null as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
@@ -66,4 +85,4 @@ def join_many(left: DataFrame, right: DataFrame, hot: DataFrame, key: str, how:
     return dealt(left, hot, key, True).join(dealt(right, hot, key, False), [key, "_salt"], how).drop("_salt")
 
 
-__all__ = ["dealt", "hot_keys", "join_many", "pick", "shared_dir", "stage", "table", "tidy", "utf8"]
+__all__ = ["dealt", "hot_keys", "in_order", "join_many", "pick", "shared_dir", "stage", "table", "tidy", "utf8"]
