@@ -20,8 +20,8 @@ def chain_of(clauses: list[dict]) -> dict | None:
     if len(clauses) != 2 or clauses[0]["do"] != "match" or clauses[1]["do"] != "return":
         return None
     m, r = clauses
-    plain = not (m["optional"] or m["where"] or r["star"] or r["distinct"] or r["order"] or r["skip"] or r["limit"]) and len(m["paths"]) == 1
-    if not plain or len(r["items"]) != 1 or r["items"][0][0][:2] != ("call", "COUNT") or r["items"][0][0][2] not in ([], ()):
+    plain = not (m["optional"] or m["where"] or m["hint"] or r["star"] or r["distinct"] or r["order"] or r["skip"] or r["limit"]) and len(m["paths"]) == 1
+    if not plain or len(r["items"]) != 1 or r["items"][0][0][:2] != ("call", "COUNT_STAR"):
         return None
     path = m["paths"][0]
     names = [x["var"] for x in path["items"] if x["var"]]
