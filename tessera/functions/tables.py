@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +108,8 @@ def projected_graph_info(graph, name):
 
 
 def show_warnings(graph):
-    return rows(graph, "query_id long, message string, file_path string, line_number long, skipped_line_or_record string", graph.warnings)
+    none = rows(graph, "query_id long, message string, file_path string, line_number long, skipped_line_or_record string", [])
+    return reduce(DataFrame.unionByName, [df for _, df in graph.warnings], none)
 
 
 def clear_warnings(graph):

@@ -24,7 +24,7 @@ from .types import spark_type, type_name
 # Settings and their defaults.
 SETTINGS = {
     "threads": 8, "timeout": 0, "var_length_extend_max_depth": 30, "sparse_frontier_threshold": 1000, "enable_semi_mask": True, "progress_bar": False, "home_directory": "", "file_search_path": "",
-    "recursive_pattern_semantic": "WALK", "recursive_pattern_factor": 100, "warning_limit": 8192, "spill_to_disk": True, "enable_plan_optimizer": True, "enable_internal_catalog": False, "checkpoint_threshold": 16777216, "auto_checkpoint": True, "force_checkpoint_on_close": True,
+    "recursive_pattern_semantic": "WALK", "recursive_pattern_factor": 100, "warning_limit": 2**63 - 1, "spill_to_disk": True, "enable_plan_optimizer": True, "enable_internal_catalog": False, "checkpoint_threshold": 16777216, "auto_checkpoint": True, "force_checkpoint_on_close": True,
 }
 
 
@@ -54,7 +54,7 @@ class Graph:
         self.udfs: dict = {}
         self.attached: dict = {}
         self.extensions: set[str] = set()
-        self.warnings: list = []
+        self.warnings: list[tuple[int, DataFrame]] = []  # numbers of rows and rows
         self.copies = 0
         self.objects: dict = {}
         self.seed: int | None = None
@@ -403,14 +403,18 @@ class Graph:
 
     # ----------------------------------------------------------------- IO
     def warn(self, message: str, rejected: DataFrame, key: str, src: dict) -> int:
-        """Keep up to ``warning_limit`` rejected rows for SHOW_WARNINGS; gives the number of all."""
-        n = rejected.count()
-        room = int(self.settings["warning_limit"]) - len(self.warnings)
-        if n and room > 0:
-            path = src["files"][0] if len(src.get("files", ())) == 1 else None
-            line = F.concat_ws(",", *[(c.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.to_json(c)) for f in rejected.schema.fields for c in [F.col(f"`{f.name}`")]])
-            for r in rejected.select(F.col(f"`{key}`").cast("string").alias("k"), line.alias("line")).limit(room).collect():
-                self.warnings.append((self.copies, message.format(r["k"]), path, None, r["line"]))
+        """Keep rejected rows for SHOW_WARNINGS, in the shared folder, and only up to
+        ``warning_limit`` where that is set; gives the number of all."""
+        path = src["files"][0] if len(src.get("files", ())) == 1 else None
+        line = F.concat_ws(",", *[(c.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.to_json(c)) for f in rejected.schema.fields for c in [F.col(f"`{f.name}`")]])
+        named = F.replace(F.lit(message), F.lit("{}"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("None")))
+        kept = materialize(rejected.select(F.lit(self.copies).cast("long").alias("query_id"), named.alias("message"), F.lit(path).cast("string").alias("file_path"), F.lit(None).cast("long").alias("line_number"), line.alias("skipped_line_or_record")))
+        n = kept.count()
+        room = max(0, int(self.settings["warning_limit"]) - sum(k for k, _ in self.warnings))
+        if n > room:
+            kept = materialize(kept.limit(room))
+        if min(n, room):
+            self.warnings.append((min(n, room), kept))
         return n
 
     def _do_copy_from(self, s: dict, params: dict) -> DataFrame:

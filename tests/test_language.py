@@ -264,3 +264,16 @@ def test_warnings_are_bounded(g, spark):
     g.add_object("same", spark.range(0, 50, 1, 5).selectExpr("id % 2 as id"))
     assert one(g, "COPY P FROM same (IGNORE_ERRORS=true)").startswith("2 tuples have been copied to the P table. 48 warnings")
     assert len(rows(g.query("CALL show_warnings() RETURN *"))) == 3
+
+
+def test_all_rejected_rows_are_warnings_where_no_limit_is_set(g, spark):
+    """More than 8,192, which were kept before, of two copies."""
+    g.query("CREATE NODE TABLE P(id INT64, PRIMARY KEY(id))")
+    g.add_object("same", spark.range(0, 9000, 1, 4).selectExpr("case when id % 3 > 0 then id % 3 end as id"))
+    for copied in (2, 0):
+        told = one(g, "COPY P FROM same (IGNORE_ERRORS=true)")
+        assert told.startswith(f"{copied} tuples have been copied to the P table. {9000 - copied} warnings")
+    got = g.query("CALL show_warnings() RETURN query_id AS q, message CONTAINS 'value 1,' AS one, message CONTAINS 'NULL' AS none, count(*) AS n")
+    assert sorted(rows(got)) == sorted([(1, False, True, 3000), (1, True, False, 2999), (1, False, False, 2999), (2, False, True, 3000), (2, True, False, 3000), (2, False, False, 3000)])
+    g.query("CALL clear_warnings()")
+    assert rows(g.query("CALL show_warnings() RETURN *")) == []
