@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .functions.tables import TABLE_FUNCTIONS
 from .operators import dml, project
-from .operators.counts import chain_count, chain_of
+from .operators.counts import chain_count, chain_of, pair_count, pairs_of
 from .operators.match import match_clause, usage, where
 from .plans.binder import Binder, Scope, Value
 from .plans.catalog import Catalog, NodeTable, RelTable, Sequence
@@ -144,6 +144,8 @@ class Graph:
     def single(self, clauses: list[dict], params: dict) -> DataFrame:
         if (chain := chain_of(clauses)) is not None:
             return chain_count(self, chain, clauses[1]["items"][0][1], params)
+        if (pairs := pairs_of(clauses)) is not None and (counted := pair_count(self, pairs, usage(clauses), params)) is not None:
+            return counted
         scope = Scope(self, self.dummy(), {}, params, usage(clauses))
         for c in clauses:
             scope = self.clause(scope, c)
