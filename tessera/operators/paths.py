@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.binder import Binder, Node, Rel, Scope, Walk, walk
-from ..plans.materialize import Waves, materialize
+from ..plans.materialize import Buckets, Waves, materialize
 from ..plans.parser import QueryError
 
 
@@ -74,6 +74,10 @@ def projected(listed: list | None, have: list[str]) -> list[str]:
     return [p for p in have if p.lower() in names]
 
 
+#: Sources and edges for each part of a weighted search, as far as there are shuffle partitions.
+ROWS_A_PART = 6000
+
+
 class Search:
     """One recursive pattern: its edges as keys, and its search."""
 
@@ -231,18 +235,53 @@ class Search:
     def weighted_paths(self, start: DataFrame) -> DataFrame:
         """Rounds of relaxation. A row is kept where it is cheaper than (ALL: as
         cheap as) every earlier row of its ends; the cheapest of all rounds remain."""
+        if self.kind == "WSHORTEST" and not self.tracked:
+            return self.least_costs(start)
         waves = Waves(self.m.graph.spark, start.schema)
         waves.add(start)
         for _ in range(self.high):
             if not waves.add(self.unseen(self.step(waves.last()), waves)):
                 break
-        rows, apart = waves.every(), F.col("s") != F.col("v")
-        rows = rows.where(apart if self.only else apart | (F.col("sl") != F.col("vl"))).where("len > 0")
+        rows = self.apart(waves.every())
         if self.kind == "WSHORTEST":
             return self.cheapest(rows)
         best = rows.groupBy(*self.key).agg(F.min("cost").alias("old"))
         return rows.join(best, self.key).where("cost = old").drop("old")
 
+    def apart(self, rows: DataFrame) -> DataFrame:
+        """Rows whose ends differ."""
+        differ = F.col("s") != F.col("v")
+        return rows.where(differ if self.only else differ | (F.col("sl") != F.col("vl"))).where("len > 0")
+
+    def least_costs(self, start: DataFrame) -> DataFrame:
+        """The relaxation where only cost and length are asked.
+
+        The rows of all rounds stay dealt out by their ends, so a round shuffles
+        what it steps from and what it reaches, once each, and no earlier row again.
+        """
+        spark, start = self.m.graph.spark, materialize(start)
+        least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rounds = Buckets(spark, self.key, max(1, min(least, (start.count() + self.edges.count()) // ROWS_A_PART)))
+        try:
+            rounds.add(rounds.dealt(start))
+            last = 0
+            for n in range(self.high):
+                at = lambda test: F.min(F.when(test, F.col("cost")))
+                front = rounds.every().groupBy(*self.key).agg(at(F.col("len") < n).alias("old"), at(F.col("len") == n).alias("cost"))
+                front = front.where("cost is not null and (old is null or cost < old)").drop("old").withColumn("len", F.lit(n))
+                new = rounds.dealt(self.step(front).drop("len")).groupBy(*self.key).agg(F.min("cost").alias("cost"))
+                if not rounds.add(new.select(*self.key, F.lit(n + 1).alias("len"), "cost")):
+                    break
+                last = n + 1
+            rows = self.apart(rounds.every())
+        finally:
+            rounds.forget()
+        # The cheapest, then the shortest: the first round that has the least cost.
+        costs = [f"_c{n}" for n in range(last + 1)]
+        rows = rows.groupBy(*self.key).agg(*[F.min(F.when(F.col("len") == n, F.col("cost"))).alias(c) for n, c in enumerate(costs)])
+        rows = rows.withColumn("cost", F.least(*costs, F.lit(None).cast("double")))
+        return rows.select(*self.key, F.coalesce(*[F.when(F.col(c) == F.col("cost"), F.lit(n)) for n, c in enumerate(costs)]).alias("len"), "cost")
+
     # ------------------------------------------------------------ values
     def filled(self, found: DataFrame) -> DataFrame:
         """The paths with nodes (intermediate ones) and rels as arrays of their values."""

@@ -63,6 +63,34 @@ class Waves:
         return self.spark.read.schema(self.schema).parquet(*self.paths[first:])
 
 
+class Buckets:
+    """Rows added time after time and kept dealt out by a hash of ``key``, so that
+    grouping all of them by it shuffles none. Only what is added is shuffled."""
+
+    def __init__(self, spark: SparkSession, key: list[str], parts: int):
+        self.spark, self.key, self.parts = spark, key, parts
+        self.name = f"tessera_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/buckets-{self.name}"
+        remove_at_exit(spark, self.path)
+
+    def add(self, df: DataFrame) -> int:
+        """Write ``df``, dealt out already; gives its number of rows, counted while they are written."""
+        seen = Observation()
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        df.write.format("parquet").mode("append").bucketBy(self.parts, *self.key).option("path", self.path).saveAsTable(self.name)
+        return seen.get["n"]
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.parts, *self.key)
+
+    def every(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Take the name out of the catalog; the files stay until the session ends."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Have the session's JVM remove ``path`` when it ends."""
     jvm = getattr(spark, "_jvm", None)

@@ -143,3 +143,33 @@ def test_pairs_of_a_hot_key_are_not_listed(g, spark):
     n = 200_000
     g.add_nodes("A", spark.range(n).selectExpr("id", "1 AS k", "id * 7919 % 200000 AS x"), "id").add_nodes("B", spark.range(n).selectExpr("id", "1 AS k", "id AS y"), "id")
     assert one(g, "MATCH (a:A), (b:B) WHERE a.k = b.k AND b.y > a.x RETURN a.k AS k, count(*) AS n") == (1, n * (n - 1) // 2)
+
+
+def test_least_costs_shuffle_no_earlier_row_again(g, spark):
+    """Costs and lengths against a search in Python, with ties, zeros and parallel edges, over two labels."""
+    import random
+    import re
+
+    rnd, nodes = random.Random(3), 14
+    edges = [(rnd.randrange(nodes), rnd.randrange(nodes), rnd.choice([0.0, 1.0, 2.0, 5.5])) for _ in range(40)]
+    g.add_nodes("A", spark.range(nodes).toDF("id"), "id").add_nodes("B", spark.range(3).toDF("id"), "id")
+    g.add_rels("R", spark.createDataFrame(edges, "a long, b long, w double"), ("A", "A"), "a", "b", props=["w"])
+    for more, ends in (([], ["A"]), ([(1, 0, 1.0), (2, 0, 1.0), (3, 2, 0.5)], ["A", "B"])):
+        if more:
+            g.add_rels("R", spark.createDataFrame(more, "a long, b long, w double"), ("A", "B"), "a", "b", props=["w"])
+        links = [(("A", a), ("A", b), w) for a, b, w in edges] + [(("A", a), ("B", b), w) for a, b, w in more]
+        want = {}
+        for s in range(nodes):
+            best = {("A", s): (0.0, 0)}
+            for n in range(1, 6):
+                level = dict(best)
+                for a, b, w in links:
+                    if a in best and best[a][1] == n - 1 and (b not in level or best[a][0] + w < level[b][0]):
+                        level[b] = (best[a][0] + w, n)
+                best = level
+            want |= {(s, *v): x for v, x in best.items() if v != ("A", s)}
+        out = g.query("MATCH (a:A)-[e:R*WSHORTEST(w) 1..5]->(b) RETURN a.id AS a, label(b) AS l, b.id AS b, cost(e) AS c, length(e) AS n")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {(r.a, r.l, r.b): (r.c, r.n) for r in out.collect()} == want
+        assert not re.search(r"hashpartitioning\(s#\d+L?, (sl#\d+, )?v#", plan)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tessera_")]
